@@ -10,7 +10,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at the same six characters.
@@ -105,10 +104,13 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 2048) ->
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+_ARROW |= {f"array<{k}>": pa.list_(t) for k, t in _ARROW.items()}
+
 
-    return to_arrow_schema(T._parse_datatype_string(ddl))
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Flat DDL as an Arrow schema; workers have no session to parse it."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (field.split() for field in ddl.split(","))])
 
 
 #: Rows of one group are dealt into COARSE x FINE bins by their place in the order, so that running sums need no task with a whole group.

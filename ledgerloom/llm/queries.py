@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, sharding, topk
+from . import licenses, mixing, quality, sharding, tokenbin, topk
 from .common import table
 
 
@@ -25,7 +26,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op7_sharding)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op7_sharding, op8_quality, op10_tokens)}
 
 ORACLE = {
     "op1_topk": """
