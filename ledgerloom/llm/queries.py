@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, packing, ppm, quality, sharding, tokenbin, topk, toxicity
+from . import jaccard, licenses, mixing, packing, ppm, quality, sharding, tokenbin, topk, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.scored(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op4_ppm, op6_toxicity, op7_sharding, op8_quality, op9_packing, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op4_ppm, op5_jaccard, op6_toxicity, op7_sharding, op8_quality, op9_packing, op10_tokens)}
 
 ORACLE = {
     "op1_topk": """
