@@ -131,7 +131,8 @@ def with_bins(df: DataFrame, order: str) -> DataFrame:
 def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict[str, str], of_group: DataFrame | None = None) -> DataFrame:
     """Exclusive running sums over each group in the order (_coarse, _fine, *order); with_bins() gives the bins.
 
-    values: new column -> summed column. of_group: a table with a row for each group, whose other columns are added.
+    Group columns must not be null: then the sums inside bins and the join with the bins' sums share one shuffle of the
+    rows. values: new column -> summed column. of_group: a table with a row for each group, whose other columns are added.
     Bins are summed first (partial aggregation, so a hot group costs a row per bin and task), their sums run up in two
     levels, and rows then run up inside their own bin. No task sees a whole group.
     """
@@ -153,6 +154,5 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict
 
 
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left with right's other columns, by keys that may be null."""
-    right = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    return left.join(right, [left[k].eqNullSafe(right[f"_key_{k}"]) for k in keys]).drop(*[f"_key_{k}" for k in keys])
+    """left with right's other columns, by keys that are never null."""
+    return left.join(right.select(*keys, *[c for c in right.columns if c not in keys]), keys)

@@ -81,7 +81,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     return out
 
 
-_SETS = "doc_id long, size int, cid long, central double, lists long, prefix array<long>"
+_SETS = "doc_id long, text_key long, size int, cid long, central double, lists long, prefix array<long>"
 
 
 def _sets(sketch, percent: int):
@@ -91,17 +91,17 @@ def _sets(sketch, percent: int):
         """Each document's set: its size, its id, and its rarest shingles, in the order that all sets share."""
         counts = sketch.value
         usual = int(counts.mean())
-        for ids, texts in rows_of(batches, "doc_id", "text", rows=512):
+        for ids, text_keys, texts in rows_of(batches, "doc_id", "text_key", "text", rows=512):
             out = []
-            for doc, text in zip(ids, texts):
+            for doc, text_key, text in zip(ids, text_keys, texts):
                 s = shingles(text)
                 if not len(s):
-                    out.append((doc, 0, 0, 0.0, 0, []))
+                    out.append((doc, text_key, 0, 0, 0.0, 0, []))
                     continue
                 often = counts[(s >> np.uint64(44)).astype(np.int64)]
                 first = s[np.argsort(often, kind="stable")[: len(s) - least_overlap(len(s), percent) + SUBSET]]
                 rare = counts[(first >> np.uint64(44)).astype(np.int64)].astype(np.int64) - usual
-                out.append((doc, len(s), set_id(s), float(np.log1p(np.sort(often)[: len(first)].astype(float)).mean()), int(np.maximum(rare, 1).sum()), first.view(np.int64).tolist()))
+                out.append((doc, text_key, len(s), set_id(s), float(np.log1p(np.sort(often)[: len(first)].astype(float)).mean()), int(np.maximum(rare, 1).sum()), first.view(np.int64).tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
     return run
@@ -161,7 +161,7 @@ def _alike(a, b, percent: int):
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document.
+    """(doc_id, text_key, n_shingles, component_id) for every document; text_key is a hash of its text.
 
     Equal sets are one node. A sketch of all shingles' frequencies gives the order in which every set lists its rarest
     shingles first. Sets that link share two of the first few in that order, so small sets write all subsets of two of
@@ -178,7 +178,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketch = spark.sparkContext.broadcast(frequencies(texts))
     made = scratch.save(texts.mapInArrow(_sets(sketch, percent), _SETS), "sets")
     sets = made.where("doc_id IS NOT NULL AND size > 0")
@@ -207,17 +207,20 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = scratch.save(_verified(scratch.save(cross, "cross"), whole, percent), "more")
     roots = components(links.unionByName(more), scratch)
 
+    scratch.drop(met, whole, stars, links, more)
+
     # a component's least document: equal sets first, then sets that link
     groups = sets.groupBy("cid").agg(F.min("doc_id").alias("rep")).join(roots, F.col("cid") == F.col("node"), "left")
     groups = groups.select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = groups.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
     groups = groups.join(least, "root").select(F.col("cid").alias("_cid"), "component_id")
     out = made.join(groups, (F.col("cid") == F.col("_cid")) & (F.col("size") > 0) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The document of least id of every component, with all columns; rows without an id stay."""
-    kept = linked(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    alone = docs.join(kept, docs["doc_id"] == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
-    return alone.unionByName(docs.where("doc_id IS NULL"))
+    """The document of least id of every component, with all columns; repeated rows leave one, rows without an id stay."""
+    kept = linked(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
+    rows = docs.withColumn("_text_key", F.xxhash64(or_empty("text")))
+    rows = rows.join(kept, (rows["doc_id"] == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_text")))
+    return rows.dropDuplicates(["_kept", "_kept_text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -22,7 +22,7 @@ def _turn(rank: Column, values: tuple[float, ...]) -> Column:
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """(source, source_size) with target, start, end: a row for each source.
+    """(_group, source, source_size) with target, start, end: a row for each source.
 
     Sharing by weight, stopping sources at their most and resharing the excess ends at one water level: sources sorted
     by most/weight stop as long as the level of what is left reaches them. There is one row for each source here, never
@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget: floa
     open_ = F.col("_level") * F.col("_w") < F.col("_most")
     level = level.withColumn("_open", open_).withColumn("_final", F.max(F.when(open_, F.col("_level"))).over(every))
     return level.select(
-        "source", "source_size", F.when(F.col("_open"), F.col("_final") * F.col("_w")).otherwise(F.col("_most")).alias("target"),
+        "_group", "source", "source_size", F.when(F.col("_open"), F.col("_final") * F.col("_w")).otherwise(F.col("_most")).alias("target"),
         _turn(F.col("_rank"), [s for s, _ in schedules]).alias("start"), _turn(F.col("_rank"), [e for _, e in schedules]).alias("end"),
     )
 
@@ -64,15 +64,40 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, schedules=
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *[c for c in keep if c not in ("doc_id", "source")],
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), content_order(F.col("doc_id"), text).alias("_order"),
     )
-    aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, schedules, budget, most)
-    rows = running_sums(with_bins(rows, "_order"), ["source"], ["_order", "doc_id", "size"], {"_first": "size"}, of_group=aims)
+    rows = rows.withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # a null source is a group too
+    aims = targets(rows.groupBy("_group", "source").agg(F.sum("size").alias("source_size")), weights, schedules, budget, most).drop("source")
+    rows = running_sums(with_bins(rows, "_order"), ["_group"], ["_order", "doc_id", "size"], {"_first": "size"}, of_group=aims)
     goal, second = F.floor(F.col("target") + F.lit(0.5)), F.col("_first") + F.col("source_size")
     part = lambda at: F.greatest(F.lit(0), F.least(at + F.col("size"), goal) - at).cast("long")
     time = lambda at: when_demanded(at / F.col("target"), F.col("start"), F.col("end"))
     rows = rows.withColumn("taken", part(F.col("_first")) + part(second))
     rows = rows.withColumn("position", F.when(part(F.col("_first")) > 0, time(F.col("_first"))))
     rows = rows.withColumn("again", F.when(part(second) > 0, time(second)))
-    return rows.drop("_first", "_order", "start", "end")
+    return rows.drop("_group", "_first", "_order", "start", "end")
+
+
+def _first_words(text: Column, n: Column) -> Column:
+    """A text up to the end of its n-th word."""
+    cut = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    return F.array_join(F.slice(cut, 1, n.cast("int")), "")
+
+
+def readings(docs: DataFrame) -> DataFrame:
+    """The documents as training reads them, in that order, with the columns of docs.
+
+    A document that is read twice has two rows. One that is taken in part has its first words; n_chars, if there is such
+    a column, is then counted anew. Documents that the mix doesn't take have no row.
+    """
+    rows = mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row")), keep=("text", "_row"))
+    first = F.least("taken", "size")
+    read = lambda n, at: F.when(n > 0, F.struct(n.alias("n"), at.alias("at")))
+    rows = rows.withColumn("_read", F.explode(F.array_compact(F.array(read(first, F.col("position")), read(F.col("taken") - first, F.col("again"))))))
+    whole = F.col("_read.n") >= F.col("size")
+    fresh = {"text": F.when(whole, F.col("_row.text")).otherwise(_first_words(F.col("text").cast("string"), F.col("_read.n")))}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(whole, F.col("_row.n_chars")).otherwise(F.length(fresh["text"]))
+    rows = rows.orderBy("_read.at", "doc_id")
+    return rows.select(*[fresh[c].cast(docs.schema[c].dataType).alias(c) if c in fresh else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def mixed(docs: DataFrame) -> DataFrame:

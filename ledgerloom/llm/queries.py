@@ -27,7 +27,7 @@ def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked(table(spark, sf_dir, "documents"))
+    return jaccard.linked(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
