@@ -27,13 +27,13 @@ def _matrix(col: pa.ChunkedArray, n: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; doubles hold them below 2**53, else Python's integers do (clipped to 64 bits)."""
+    """Exact integer inner products; doubles hold them below 2**53, else Python's integers do and scores beyond 64 bits stop at their ends."""
     high = (np.abs(q).max(initial=0) or 1) * (np.abs(c).max(initial=0) or 1) * max(1, q.shape[1])
     if high < 2**53:
         return (q @ c.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape)
     out = whole(q) @ whole(c).T
-    return np.clip(out, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(out, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 def _select(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
