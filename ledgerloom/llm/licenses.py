@@ -97,3 +97,26 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     )
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def oracle() -> str:
+    """DuckDB SQL for scan() over the table documents."""
+    seeds, about = _seeds(PHRASES, TEMPLATES)
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    seed_rows = ", ".join(f"({t}, {place}, {vote}, {text(a)}, {text(b)})" for t, place, vote, a, b in seeds)
+    about_rows = ", ".join(f"({t}, {text(label)}, {votes}, {needed}, {str(base).lower()})" for t, label, votes, needed, base in about)
+    return f"""
+        WITH seed(t, place, vote, a, b) AS (VALUES {seed_rows}), about(t, label, votes, needed, base) AS (VALUES {about_rows}),
+        d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        word AS (SELECT k, unnest(w) AS a, unnest(range(len(w))) AS i FROM d),
+        pair AS (SELECT x.k, x.i, x.a, y.a AS b FROM word x JOIN word y ON x.k = y.k AND y.i = x.i + 1),
+        line AS (SELECT k, t, i - place AS line, bit_or(1::BIGINT << vote) AS bits FROM pair JOIN seed USING (a, b) GROUP BY ALL),
+        step AS (SELECT *, CASE WHEN line - lag(line) OVER (PARTITION BY k, t ORDER BY line) > {GAP} THEN 1 ELSE 0 END AS fresh FROM line),
+        span AS (SELECT *, sum(fresh) OVER (PARTITION BY k, t ORDER BY line) AS span FROM step),
+        got AS (SELECT k, t, span, label, votes, needed, base, bit_count(bit_or(bits)) AS got, count(*) FILTER (WHERE base AND bit_count(bits) = votes) AS places,
+                       min(line) FILTER (WHERE base AND bit_count(bits) = votes) AS lo, max(line) FILTER (WHERE base AND bit_count(bits) = votes) AS hi FROM span JOIN about USING (t) GROUP BY ALL),
+        per AS (SELECT k, CAST(sum(places) AS BIGINT) AS n_base, min(lo) AS lo, max(hi) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE places > 0) AS base_labels,
+                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE CASE WHEN base THEN places > 0 ELSE got >= needed END) AS labels,
+                       max(CASE WHEN base THEN CASE WHEN places > 0 THEN 1.0::DOUBLE ELSE 0 END ELSE got::DOUBLE / votes END) AS score FROM got GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+               coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN per USING (k)"""
