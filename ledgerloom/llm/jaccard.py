@@ -135,8 +135,8 @@ def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
     return at
 
 
-def _entries(sets: DataFrame, small: int, percent: int) -> DataFrame:
-    """(key, cid, size, at, central): two sets that link meet under a key. at: shingles before the key's in the shared order."""
+def _entries(heads: DataFrame, small: int, percent: int) -> DataFrame:
+    """(key, cid, size, at): two sets that link meet under a key. at: shingles before the key's in the shared order."""
     pick = F.col("prefix")
     single = F.slice(pick, 1, F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1)
     # a small set is also listed where a large one may link to it
@@ -145,14 +145,73 @@ def _entries(sets: DataFrame, small: int, percent: int) -> DataFrame:
     subsets = F.when((F.col("size") <= small) & (F.size(pick) >= 2), pairs)
     empty = F.array().cast("array<struct<key:bigint,at:int>>")
     every = F.explode(F.concat(F.coalesce(listed, empty), F.coalesce(subsets, empty)))
-    return sets.select("cid", "size", "central", every.alias("e")).select(F.col("e.key").alias("key"), "cid", "size", F.col("e.at").alias("at"), "central")
+    return heads.select("cid", "size", every.alias("e")).select(F.col("e.key").alias("key"), "cid", "size", F.col("e.at").alias("at"))
+
+
+def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, counts: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether sets of na and nb shingles can link, judged by their rarest shingles alone; never false for sets that link.
+
+    Before the last of the other's shingles listed, whatever stands in one list and not in the other is in one set only.
+    """
+
+    def ranks(s: np.ndarray) -> np.ndarray:
+        return (counts[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
+
+    ra, rb = ranks(a), ranks(b)
+    end_a = np.uint64(2**64 - 1) if len(a) == na else ra.max(initial=0)
+    end_b = np.uint64(2**64 - 1) if len(b) == nb else rb.max(initial=0)
+    lone_a, lone_b = int((~np.isin(a, b) & (ra < end_b)).sum()), int((~np.isin(b, a) & (rb < end_a)).sum())
+    return min(na - lone_a, nb - lone_b) * (100 + percent) >= percent * (na + nb)
+
+
+_PAIRS = "a long, b long"
+
+
+def _screen(sketch, percent: int):
+    schema = arrow_schema(_PAIRS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sketch.value
+        own = lambda x: np.array(x, np.int64).view(np.uint64)
+        for a, b, na, nb, pa_, pb in rows_of(batches, "a", "b", "na", "nb", "pa", "pb"):
+            kept = [may_link(own(x), own(y), n, m, counts, percent) for x, y, n, m in zip(pa_, pb, na, nb)]
+            yield pa.RecordBatch.from_pydict({"a": [x for x, k in zip(a, kept) if k], "b": [x for x, k in zip(b, kept) if k]}, schema=schema)
+
+    return run
+
+
+def _screened(pairs: DataFrame, heads: DataFrame, sketch, percent: int) -> DataFrame:
+    """The pairs that their sizes and rarest shingles don't rule out."""
+    side = lambda c: heads.select(F.col("cid").alias(c), F.col("size").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent))
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_screen(sketch, percent), _PAIRS)
+
+
+#: Bits of the filter that keeps most rows out of a join; with many ids it lets more through, and its size stays.
+FILTER_BITS = 1 << 23
+
+
+def _mostly_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is among ids (column key), and a few more: a bitmap of hashed ids, of FILTER_BITS / 64 rows at most."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    word, bit = F.floor(place / 64).cast("int"), F.expr(f"shiftleft(1L, CAST(pmod(xxhash64({key}), 64) AS INT))")
+    bits = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return found.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
+
+
+def _wholes(pairs: DataFrame, heads: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, s) of all sets in pairs, made again from the texts."""
+    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    owners = scratch.save(heads.select("cid", F.col("rep").alias("doc_id")).join(ids, "cid"), "owners")
+    return scratch.save(_mostly_in(texts.select("doc_id", "text"), "doc_id", owners).join(owners, "doc_id").select("cid", "text").mapInArrow(_whole, _WHOLE), "whole")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that link, by their whole sets."""
     both = pairs.join(whole.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("_i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("_i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("_i"))).select("a", "b")
+    return both.where(F.col("_i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("_i"))).select("a", "b").distinct()
 
 
 def _alike(a, b, percent: int):
@@ -170,7 +229,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Sets under one key are first held against the most central of them, one link a set and key; components of the
     links found so join most near copies. Then every set outside its key's main component is held against all sets
     under the key that are in another component. So no link between components is missed, and pairs within one,
-    which change nothing, are not made. Sizes and places in the order rule out pairs before their sets are compared.
+    which change nothing, are not made. Sizes, places in the order and the rarest shingles of both sets rule out most
+    pairs; only the sets of the others are made again from their texts and compared.
 
     A null or empty text has no shingles, links with nothing and is its own component. A row without an id links with
     nothing and has a null component. Repeated rows are linked; ids shared by different texts are one row each. An
@@ -181,20 +241,18 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketch = spark.sparkContext.broadcast(frequencies(texts))
     made = scratch.save(texts.mapInArrow(_sets(sketch, percent), _SETS), "sets")
-    sets = made.where("doc_id IS NOT NULL AND size > 0")
-    entries = _entries(sets, boundary(sets, percent), percent)
+    heads = made.where("doc_id IS NOT NULL AND size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "central", "lists", "prefix")])
+    heads = scratch.save(heads, "heads")
+    entries = _entries(heads, boundary(heads, percent), percent)
 
-    keys = entries.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.max_by("cid", "central").alias("main")).where("lo <> hi").select("key", "main")
-    met = scratch.save(entries.select("key", "cid", "size", "at").join(keys, "key").distinct(), "met")
-    owners = sets.join(met.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    whole = texts.join(owners, texts["doc_id"] == owners["rep"]).select("cid", "text").mapInArrow(_whole, _WHOLE).dropDuplicates(["cid"])
-    whole = scratch.save(whole, "whole")
+    keys = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = scratch.save(entries.join(keys, "key"), "met")
+    central = met.join(heads.select("cid", "central"), "cid")
+    met = scratch.save(met.join(central.groupBy("key").agg(F.max_by("cid", "central").alias("main")), "key"), "led")
 
-    sizes = met.select("cid", "size").distinct()
     stars = met.where("cid <> main").select(F.least("cid", "main").alias("a"), F.greatest("cid", "main").alias("b")).distinct()
-    stars = stars.join(sizes.select(F.col("cid").alias("a"), F.col("size").alias("na")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("size").alias("nb")), "b")
-    stars = scratch.save(stars.where(_alike(F.col("na"), F.col("nb"), percent)).select("a", "b"), "stars")
-    links = scratch.save(_verified(stars, whole, percent), "links")
+    stars = scratch.save(_screened(stars, heads, sketch, percent), "stars")
+    links = scratch.save(_verified(stars, _wholes(stars, heads, texts, scratch), percent), "links")
 
     roots = components(links, scratch)
     own = lambda df, c, root: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{root}")), c, "left").withColumn(root, F.coalesce(f"_{root}", c)).drop(f"_{root}")
@@ -203,15 +261,13 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cross = apart.join(placed, "key").where("x_root <> root")
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at"))
     cross = cross.where(_alike(F.col("x_size"), F.col("size"), percent) & (left * (100 + percent) >= percent * (F.col("x_size") + F.col("size"))))
-    cross = cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(_verified(scratch.save(cross, "cross"), whole, percent), "more")
+    cross = cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
+    cross = scratch.save(_screened(cross, heads, sketch, percent).join(stars, ["a", "b"], "left_anti"), "cross")
+    more = scratch.save(_verified(cross, _wholes(cross, heads, texts, scratch), percent), "more")
     roots = components(links.unionByName(more), scratch)
 
-    scratch.drop(met, whole, stars, links, more)
-
     # a component's least document: equal sets first, then sets that link
-    groups = sets.groupBy("cid").agg(F.min("doc_id").alias("rep")).join(roots, F.col("cid") == F.col("node"), "left")
-    groups = groups.select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+    groups = heads.select("cid", "rep").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = groups.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
     groups = groups.join(least, "root").select(F.col("cid").alias("_cid"), "component_id")
     out = made.join(groups, (F.col("cid") == F.col("_cid")) & (F.col("size") > 0) & F.col("doc_id").isNotNull(), "left")
