@@ -200,9 +200,12 @@ def _mostly_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return found.where(F.col("_bits").bitwiseAND(bit) != 0).drop("_word", "_bits")
 
 
-def _wholes(pairs: DataFrame, heads: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(cid, s) of all sets in pairs, made again from the texts."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+def _either(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def _wholes(ids: DataFrame, heads: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cid, s) of the sets with these ids (cid), made again from the texts."""
     owners = scratch.save(heads.select("cid", F.col("rep").alias("doc_id")).join(ids, "cid"), "owners")
     return scratch.save(_mostly_in(texts.select("doc_id", "text"), "doc_id", owners).join(owners, "doc_id").select("cid", "text").mapInArrow(_whole, _WHOLE), "whole")
 
@@ -219,6 +222,50 @@ def _alike(a, b, percent: int):
     return F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
 
+#: Under a key, so many pairs of sets outside the main component with others are compared in tiles, not one by one.
+MANY = 20_000
+#: Sets on each side of a tile.
+TILE = 2000
+_SIDE = ("key", "i", "j", "cid", "root", "s")
+
+
+def _tile(percent: int):
+    def links(key, outside: pa.Table, under: pa.Table) -> pa.Table:
+        """For each set outside, one link into each other component that its tile has a link to."""
+        out_a, out_b = [], []
+        if outside.num_rows and under.num_rows:
+            sets = [np.array(s, np.int64) for s in under["y_s"].to_pylist()]
+            cids, roots, sizes = under["y_cid"].to_numpy(), under["y_root"].to_numpy(), np.array([len(s) for s in sets])
+            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for cid, root, s in zip(outside["x_cid"].to_pylist(), outside["x_root"].to_pylist(), outside["x_s"].to_pylist()):
+                own = np.array(s, np.int64)
+                first, last = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+                n = last - first
+                at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                shared = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((shared * 100 >= percent * (len(own) + sizes - shared)) & (roots != root))
+                for y in hit[np.unique(roots[hit], return_index=True)[1]]:
+                    out_a.append(min(cid, int(cids[y])))
+                    out_b.append(max(cid, int(cids[y])))
+        return pa.table({"a": out_a, "b": out_b}, schema=arrow_schema(_PAIRS))
+
+    return links
+
+
+def _tiled(crowded: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) under crowded keys (key, n, cid, root, main_root): sets outside the main component against all
+    others, in tiles of TILE by TILE sets that list their shingles and scan the lists. Pairs are never written."""
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("cid"), parts).cast("int")
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    whole = whole.dropDuplicates(["cid"])
+    outside = crowded.where("root <> main_root").withColumn("i", own).withColumn("j", every).join(whole, "cid").select(*[F.col(c).alias(f"x_{c}") for c in _SIDE])
+    under = crowded.withColumn("j", own).withColumn("i", every).join(whole, "cid").select(*[F.col(c).alias(f"y_{c}") for c in _SIDE])
+    return outside.groupBy("x_key", "x_i", "x_j").cogroup(under.groupBy("y_key", "y_i", "y_j")).applyInArrow(_tile(percent), _PAIRS).distinct()
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) for every document; text_key is a hash of its text.
 
@@ -229,7 +276,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Sets under one key are first held against the most central of them, one link a set and key; components of the
     links found so join most near copies. Then every set outside its key's main component is held against all sets
     under the key that are in another component. So no link between components is missed, and pairs within one,
-    which change nothing, are not made. Sizes, places in the order and the rarest shingles of both sets rule out most
+    which change nothing, are not made; under a key with very many such pairs sets meet in tiles. Sizes, places in the order and the rarest shingles of both sets rule out most
     pairs; only the sets of the others are made again from their texts and compared.
 
     A null or empty text has no shingles, links with nothing and is its own component. A row without an id links with
@@ -252,19 +299,24 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     stars = met.where("cid <> main").select(F.least("cid", "main").alias("a"), F.greatest("cid", "main").alias("b")).distinct()
     stars = scratch.save(_screened(stars, heads, sketch, percent), "stars")
-    links = scratch.save(_verified(stars, _wholes(stars, heads, texts, scratch), percent), "links")
+    links = scratch.save(_verified(stars, _wholes(_either(stars), heads, texts, scratch), percent), "links")
 
     roots = components(links, scratch)
     own = lambda df, c, root: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{root}")), c, "left").withColumn(root, F.coalesce(f"_{root}", c)).drop(f"_{root}")
     placed = own(own(met, "cid", "root"), "main", "main_root").drop("main")
+    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main_root")).alias("out")).where("out > 0")
+    placed = scratch.save(placed.join(open_, "key"), "placed")
+    crowded = placed.where(F.col("n") * F.col("out") > MANY)
+    packed = scratch.save(_tiled(crowded, _wholes(crowded.select("cid").distinct(), heads, texts, scratch), percent), "packed")
+    placed = placed.where(F.col("n") * F.col("out") <= MANY)
     apart = placed.where("root <> main_root").select("key", *[F.col(c).alias(f"x_{c}") for c in ("cid", "size", "at", "root")])
     cross = apart.join(placed, "key").where("x_root <> root")
     left = F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at"))
     cross = cross.where(_alike(F.col("x_size"), F.col("size"), percent) & (left * (100 + percent) >= percent * (F.col("x_size") + F.col("size"))))
     cross = cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
     cross = scratch.save(_screened(cross, heads, sketch, percent).join(stars, ["a", "b"], "left_anti"), "cross")
-    more = scratch.save(_verified(cross, _wholes(cross, heads, texts, scratch), percent), "more")
-    roots = components(links.unionByName(more), scratch)
+    more = scratch.save(_verified(cross, _wholes(_either(cross), heads, texts, scratch), percent), "more")
+    roots = components(links.unionByName(more).unionByName(packed), scratch)
 
     # a component's least document: equal sets first, then sets that link
     groups = heads.select("cid", "rep").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))

@@ -168,13 +168,16 @@ def near_copies(seed=4):
     return texts
 
 
-@pytest.mark.parametrize("small", [None, 30])
-def test_jaccard_join(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "tile"), [(None, None), (30, None), (None, 7)])
+def test_jaccard_join(spark, monkeypatch, small, tile):
     texts = [*near_copies(), "", None, " \n", "one", "One", "one two three", "one  two\nthree", "one two", "x" * 4000]
     docs = table(spark, texts).withColumn("size", F.lit("a clash")).withColumn("cid", F.lit(1))
     docs = docs.union(docs.where("doc_id < 3"))
     if small is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda sets, percent: small)
+    if tile is not None:  # all pairs of the last round meet in tiles
+        monkeypatch.setattr(jaccard, "MANY", 0)
+        monkeypatch.setattr(jaccard, "TILE", tile)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(docs).collect()}
     want = brute_components(list(enumerate(texts)))
     assert got == {(i, n, c) for i, (n, c) in want.items()}
