@@ -123,6 +123,18 @@ def test_language_model_without_training(spark):
     assert ppm.scored(empty(spark)).count() == 0
 
 
+def test_language_model_keeps_all_contexts(spark):
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(1500)) for _ in range(80)]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    assert len({t[k : k + 5] for t in map(ppm.plain, train) for k in range(len(t) - 5)}) > 80_000
+    score = brute_ppm(train)
+    got = {g["doc_id"]: g for g in ppm.scored(table(spark, texts)).collect()}
+    assert any(g["held_out"] for g in got.values()) and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(score(t), rel=1e-5)
+
+
 # ---- Jaccard join
 def sets_of(t):
     w = lower(t or "").split(None) if t and t.isascii() else WORD.findall(lower(t or ""))
