@@ -18,6 +18,10 @@ from ledgerloom.llm.common import Scratch, table
 ORACLE_SQL = None
 
 
+#: Near copies to the pipeline: at least PERCENT of the shingles of SHINGLE words that two documents have are in both.
+SHINGLE, PERCENT = 5, 80
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """The columns that operators read, and all columns as one, so that no name clashes with an operator's own."""
     return docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_row"))
@@ -40,7 +44,7 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, PERCENT, SHINGLE)
 
 
 def in_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,20 +47,23 @@ def least_overlap(size: int, percent: int = PERCENT) -> int:
 _BLOCKS = "block int, counts binary"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often a task's shingles fall on each counter."""
-    counts, held, size = np.zeros(COUNTERS, np.int64), [], 0
-    for (texts,) in rows_of(batches, "text", rows=512):
-        held += [(shingles(t) >> np.uint64(44)).astype(np.int32) for t in texts]
-        size += sum(map(len, held[-len(texts) :]))
-        if size > 1 << 20:
+def _sketch(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often a task's shingles fall on each counter."""
+        counts, held, size = np.zeros(COUNTERS, np.int64), [], 0
+        for (texts,) in rows_of(batches, "text", rows=512):
+            held += [(shingles(t, shingle) >> np.uint64(44)).astype(np.int32) for t in texts]
+            size += sum(map(len, held[-len(texts) :]))
+            if size > 1 << 20:
+                counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                held, size = [], 0
+        if held:
             counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
-            held, size = [], 0
-    if held:
-        counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
-    if counts.any():
-        raw = [counts[k : k + BLOCK].astype("<u4").tobytes() for k in range(0, COUNTERS, BLOCK)]
-        yield pa.RecordBatch.from_pydict({"block": list(range(len(raw))), "counts": raw}, schema=arrow_schema(_BLOCKS))
+        if counts.any():
+            raw = [counts[k : k + BLOCK].astype("<u4").tobytes() for k in range(0, COUNTERS, BLOCK)]
+            yield pa.RecordBatch.from_pydict({"block": list(range(len(raw))), "counts": raw}, schema=arrow_schema(_BLOCKS))
+
+    return run
 
 
 def _summed(key, rows):
@@ -71,9 +74,9 @@ def _summed(key, rows):
     return pa.table({"block": [key[0].as_py()], "counts": [total]}, schema=arrow_schema(_BLOCKS))
 
 
-def frequencies(rows: DataFrame) -> np.ndarray:
+def frequencies(rows: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """The sketch over all documents: sums go up a tree, FAN_IN tasks to a group."""
-    parts = rows.select("text").mapInArrow(_sketch, _BLOCKS).withColumn("_branch", F.floor(F.spark_partition_id() / FAN_IN))
+    parts = rows.select("text").mapInArrow(_sketch(shingle), _BLOCKS).withColumn("_branch", F.floor(F.spark_partition_id() / FAN_IN))
     once = parts.groupBy("block", "_branch").applyInArrow(_summed, _BLOCKS)
     out = np.zeros(COUNTERS, np.uint32)
     for r in once.groupBy("block").applyInArrow(_summed, _BLOCKS).collect():
@@ -84,7 +87,7 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 _SETS = "doc_id long, text_key long, size int, cid long, central double, lists long, prefix array<long>"
 
 
-def _sets(sketch, percent: int):
+def _sets(sketch, percent: int, shingle: int):
     schema = arrow_schema(_SETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +97,7 @@ def _sets(sketch, percent: int):
         for ids, text_keys, texts in rows_of(batches, "doc_id", "text_key", "text", rows=512):
             out = []
             for doc, text_key, text in zip(ids, text_keys, texts):
-                s = shingles(text)
+                s = shingles(text, shingle)
                 if not len(s):
                     out.append((doc, text_key, 0, 0, 0.0, 0, []))
                     continue
@@ -110,11 +113,15 @@ def _sets(sketch, percent: int):
 _WHOLE = "cid long, s array<long>"
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(shingle: int):
     schema = arrow_schema(_WHOLE)
-    for cids, texts in rows_of(batches, "cid", "text", rows=256):
-        made = [(c, s) for c, s in zip(cids, map(shingles, texts)) if set_id(s) == c]  # rows may share an id
-        yield pa.RecordBatch.from_pydict({"cid": [c for c, _ in made], "s": [s.view(np.int64).tolist() for _, s in made]}, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cids, texts in rows_of(batches, "cid", "text", rows=256):
+            made = [(c, s) for c, s in zip(cids, (shingles(t, shingle) for t in texts)) if set_id(s) == c]  # rows may share an id
+            yield pa.RecordBatch.from_pydict({"cid": [c for c, _ in made], "s": [s.view(np.int64).tolist() for _, s in made]}, schema=schema)
+
+    return run
 
 
 def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
@@ -204,10 +211,10 @@ def _either(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
 
 
-def _wholes(ids: DataFrame, heads: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _wholes(ids: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
     """(cid, s) of the sets with these ids (cid), made again from the texts."""
     owners = scratch.save(heads.select("cid", F.col("rep").alias("doc_id")).join(ids, "cid"), "owners")
-    return scratch.save(_mostly_in(texts.select("doc_id", "text"), "doc_id", owners).join(owners, "doc_id").select("cid", "text").mapInArrow(_whole, _WHOLE), "whole")
+    return scratch.save(_mostly_in(texts.select("doc_id", "text"), "doc_id", owners).join(owners, "doc_id").select("cid", "text").mapInArrow(_whole(shingle), _WHOLE), "whole")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -266,7 +273,7 @@ def _tiled(crowded: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return outside.groupBy("x_key", "x_i", "x_j").cogroup(under.groupBy("y_key", "y_i", "y_j")).applyInArrow(_tile(percent), _PAIRS).distinct()
 
 
-def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) for every document; text_key is a hash of its text.
 
     Equal sets are one node. A sketch of all shingles' frequencies gives the order in which every set lists its rarest
@@ -286,8 +293,8 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    sketch = spark.sparkContext.broadcast(frequencies(texts))
-    made = scratch.save(texts.mapInArrow(_sets(sketch, percent), _SETS), "sets")
+    sketch = spark.sparkContext.broadcast(frequencies(texts, shingle))
+    made = scratch.save(texts.mapInArrow(_sets(sketch, percent, shingle), _SETS), "sets")
     heads = made.where("doc_id IS NOT NULL AND size > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in ("size", "central", "lists", "prefix")])
     heads = scratch.save(heads, "heads")
     entries = _entries(heads, boundary(heads, percent), percent)
@@ -299,7 +306,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     stars = met.where("cid <> main").select(F.least("cid", "main").alias("a"), F.greatest("cid", "main").alias("b")).distinct()
     stars = scratch.save(_screened(stars, heads, sketch, percent), "stars")
-    links = scratch.save(_verified(stars, _wholes(_either(stars), heads, texts, scratch), percent), "links")
+    links = scratch.save(_verified(stars, _wholes(_either(stars), heads, texts, shingle, scratch), percent), "links")
 
     roots = components(links, scratch)
     own = lambda df, c, root: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{root}")), c, "left").withColumn(root, F.coalesce(f"_{root}", c)).drop(f"_{root}")
@@ -307,7 +314,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main_root")).alias("out")).where("out > 0")
     placed = scratch.save(placed.join(open_, "key"), "placed")
     crowded = placed.where(F.col("n") * F.col("out") > MANY)
-    packed = scratch.save(_tiled(crowded, _wholes(crowded.select("cid").distinct(), heads, texts, scratch), percent), "packed")
+    packed = scratch.save(_tiled(crowded, _wholes(crowded.select("cid").distinct(), heads, texts, shingle, scratch), percent), "packed")
     placed = placed.where(F.col("n") * F.col("out") <= MANY)
     apart = placed.where("root <> main_root").select("key", *[F.col(c).alias(f"x_{c}") for c in ("cid", "size", "at", "root")])
     cross = apart.join(placed, "key").where("x_root <> root")
@@ -315,7 +322,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cross = cross.where(_alike(F.col("x_size"), F.col("size"), percent) & (left * (100 + percent) >= percent * (F.col("x_size") + F.col("size"))))
     cross = cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
     cross = scratch.save(_screened(cross, heads, sketch, percent).join(stars, ["a", "b"], "left_anti"), "cross")
-    more = scratch.save(_verified(cross, _wholes(_either(cross), heads, texts, scratch), percent), "more")
+    more = scratch.save(_verified(cross, _wholes(_either(cross), heads, texts, shingle, scratch), percent), "more")
     roots = components(links.unionByName(more).unionByName(packed), scratch)
 
     # a component's least document: equal sets first, then sets that link
@@ -326,9 +333,9 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The document of least id of every component, with all columns; repeated rows leave one, rows without an id stay."""
-    kept = linked(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
+    kept = linked(docs, percent, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
     rows = docs.withColumn("_text_key", F.xxhash64(or_empty("text")))
     rows = rows.join(kept, (rows["doc_id"] == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_text")))
     return rows.dropDuplicates(["_kept", "_kept_text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import jaccard, licenses, ppm, quality, toxicity
 from ledgerloom.llm.components import components
 from ledgerloom.llm.common import Scratch
@@ -204,6 +205,36 @@ def test_one_of_each(spark):
     assert jaccard.linked(table(spark, [(None, "a b c d")])).first()["component_id"] is None
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Pairs at 80 percent of 5-word shingles and under 85 percent of 4-word ones are near copies to the stage, not to op5_jaccard."""
+    texts = []
+    for n, changed in ((50, [25]), (240, [20, 60, 100, 140, 180]), (250, range(100, 120))):
+        words = [f"t{len(texts)}w{k}" for k in range(n)]
+        texts += [" ".join(words), " ".join(f"new{k}" if k in changed else w for k, w in enumerate(words))]
+    texts += [" ".join(f"o{k}" for k in range(49)), " ".join("new" if k in (15, 35) else f"o{k}" for k in range(49))]  # 0.67 at 5 words
+    docs = table(spark, texts)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [0, 2, 4, 6, 7]
+    assert all(r["doc_id"] == r["component_id"] for r in jaccard.linked(docs).collect())
+
+
+@pytest.mark.parametrize(("small", "tile"), [(None, None), (30, None), (None, 7)])
+def test_jaccard_join_of_other_shingles(spark, monkeypatch, small, tile):
+    """All components at 5 words and 80 percent are those of brute force."""
+    texts = [*near_copies(), "", "one", "one two three four", "one two three  four"]
+    if small is not None:
+        monkeypatch.setattr(jaccard, "boundary", lambda sets, percent: small)
+    if tile is not None:
+        monkeypatch.setattr(jaccard, "MANY", 0)
+        monkeypatch.setattr(jaccard, "TILE", tile)
+    own = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.split()) else frozenset() for t in texts]
+    links = [(a, b) for b in range(len(own)) for a in range(b) if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
+    root = list(range(len(own)))
+    for _ in own:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.linked(table(spark, texts), 80, 5).collect()} == dict(enumerate(root))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 50)] + [(300, 299), (299, 298), (7, 7), (1, 0)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "test")).collect()}
