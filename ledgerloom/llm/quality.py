@@ -22,9 +22,9 @@ _CLASSES = 9
 WINDOW = 5
 #: The base rules: fewer words, or a larger part in percent of repeated words, fail.
 MIN_WORDS, MAX_REPEATED = 10, 20
-#: A language counts if it has this part of all words; its common words have this part of its words. So there are at
-#: most 1 / LANGUAGE_PART languages of at most 1 / WORD_PART words.
-LANGUAGE_PART, WORD_PART = 0.005, 0.005
+#: A language has a reference if it has so many words in so many documents, whatever its part of the corpus: fewer make
+#: no steady histogram. Its common words have WORD_PART of its words, so there are at most 1 / WORD_PART of them.
+LEAST_WORDS, LEAST_DOCS, WORD_PART = 2000, 20, 0.005
 #: Texts of fewer words have too rough a histogram for a verdict.
 GUARD_CHARS, GUARD_WORDS = 30, 60
 #: Divergences (base 2, 0 to 1) beyond which a text is unlike its nearest language.
@@ -80,6 +80,7 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 _PART = "lang string, word string, n long"
 _CHARS = "\0chars"
+_DOCS = f"{_CHARS}{_CLASSES}"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +98,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(langs, texts):
             raw = text.encode()
             words.setdefault(lang, Counter()).update(raw.lower().split())
-            chars[lang] = chars.get(lang, 0) + char_classes(raw)
+            chars[lang] = chars.get(lang, 0) + np.append(char_classes(raw), 1)  # the last one counts documents
         if sum(map(len, words.values())) > 500_000:
             yield from told(words, chars)
             words, chars = {}, {}
@@ -110,24 +111,24 @@ def references(docs: DataFrame) -> list[tuple[str | None, list[float], dict[str,
     scratch = Scratch(docs.sparkSession, "quality")
     counts = scratch.save(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
     is_word = ~F.col("word").startswith(_CHARS)
-    totals = counts.where(is_word).groupBy("lang").agg(F.sum("n").alias("total"))
-    every = totals.agg(F.sum("total")).first()[0] or 0
-    large = {r["lang"]: r["total"] for r in totals.where(F.col("total") >= LANGUAGE_PART * every).collect()} if every else {}
+    totals = counts.groupBy("lang").agg(F.sum(F.when(is_word, F.col("n"))).alias("total"), F.sum(F.when(F.col("word") == _DOCS, F.col("n"))).alias("docs"))
+    large = {r["lang"]: r["total"] for r in totals.where((F.col("total") >= LEAST_WORDS) & (F.col("docs") >= LEAST_DOCS)).collect()}
     if not large:
         scratch.drop(counts)
         return []
-    least = F.lit(None).cast("double")
-    for lang, total in large.items():
-        least = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(WORD_PART * total)).otherwise(least)
-    found = counts.where(least.isNotNull() & (~is_word | (F.col("n") >= least))).collect()
+    least = docs.sparkSession.createDataFrame([(k, WORD_PART * n) for k, n in large.items()], "_lang string, _least double")
+    own = counts.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("_lang")))
+    by: dict[str | None, list] = {lang: [] for lang in large}
+    for r in own.where(~is_word | (F.col("n") >= F.col("_least"))).collect():
+        by[r["lang"]].append((r["word"], r["n"]))
     scratch.drop(counts)
     out = []
     for lang, total in sorted(large.items(), key=lambda x: (x[0] is None, x[0] or "")):
         chars = np.zeros(_CLASSES)
-        for r in found:
-            if r["lang"] == lang and r["word"].startswith(_CHARS):
-                chars[int(r["word"][len(_CHARS) :])] = r["n"]
-        common = {r["word"]: r["n"] / total for r in found if r["lang"] == lang and not r["word"].startswith(_CHARS)}
+        for word, n in by[lang]:
+            if word.startswith(_CHARS) and word != _DOCS:
+                chars[int(word[len(_CHARS) :])] = n
+        common = {word: n / total for word, n in by[lang] if not word.startswith(_CHARS)}
         out.append((lang, (chars / max(1.0, chars.sum())).tolist(), dict(sorted(common.items()))))
     return out
 
@@ -143,27 +144,32 @@ def _judge(refs, columns: list[str], schema: pa.Schema):
         parts = np.array([*common.values(), max(0.0, 1 - sum(common.values()))])
         tables.append((place, parts))
 
-    def verdict(raw: bytes, words: list[bytes], classes: np.ndarray) -> tuple[float | None, float | None]:
-        if not refs or not words:
+    own_langs = {lang for lang, _, _ in refs}
+
+    def verdict(raw: bytes, words: list[bytes], classes: np.ndarray, lang: str | None) -> tuple[float | None, float | None]:
+        if lang not in own_langs or not words:
             return None, None
         chars = divergence(classes / classes.sum(), char_refs)
         lower = Counter(raw.lower().split())
-        common = []
-        for place, parts in tables:
+        best = (np.inf, 0, 0.0)  # the sum of both divergences, the language, the second divergence
+        for k in np.argsort(chars, kind="stable").tolist():
+            if chars[k] > best[0]:
+                break
+            place, parts = tables[k]
             own = np.zeros(len(parts))
             for w in lower.keys() & place.keys():
                 own[place[w]] = lower[w]
             own[-1] = len(words) - own.sum()
-            common.append(float(divergence(own / len(words), parts)))
-        near = int(np.argmin(chars + np.array(common)))
-        return float(chars[near]), common[near]
+            common = float(divergence(own / len(words), parts))
+            best = min(best, (float(chars[k]) + common, k, common))
+        return float(chars[best[1]]), best[2]
 
-    def rules(text: str) -> tuple:
+    def rules(text: str, lang: str | None) -> tuple:
         raw = text.encode()
         words, classes = raw.split(), char_classes(raw)
         n, again = len(words), repeated_words(words)
         failed = n < MIN_WORDS or 100 * again > MAX_REPEATED * n
-        far = verdict(raw, words, classes)
+        far = verdict(raw, words, classes, lang)
         unlike = n >= GUARD_CHARS and far[0] is not None and far[0] > MAX_CHARS or n >= GUARD_WORDS and far[1] is not None and far[1] > MAX_COMMON
         return n, int(classes.sum() - classes[3] - classes[4]), int(classes[6]), repeated_lines(text), again, failed, not failed and not unlike, *far
 
@@ -171,7 +177,8 @@ def _judge(refs, columns: list[str], schema: pa.Schema):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                made = list(zip(*(rules(t or "") for t in part.column(part.schema.get_field_index("text")).to_pylist())))
+                texts, langs = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "_lang"))
+                made = list(zip(*(rules(t or "", lang) for t, lang in zip(texts, langs))))
                 kept = [part.column(part.schema.get_field_index(c)) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, t) for x, t in zip(made, schema.types[len(columns) :]))], schema=schema)
 
@@ -183,14 +190,15 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     First pass: histograms of character classes and of words over all documents, by the column lang; a language's
     common words are those with WORD_PART of its words. Second pass: a document's two histograms are held against the
-    nearest language whatever its lang says; it fails where they diverge too far and it has words enough to tell.
+    nearest language whatever its lang says; it fails where they diverge too far and it has words enough to tell. The
+    base rules alone judge documents whose lang has no reference, as it has under LEAST_WORDS words or LEAST_DOCS documents.
     word_chars counts code points in words. A null text is empty: it has no words and fails the base rules. Null lang
     is a language of its own; repeated rows are judged each; an empty table gives no rows.
     """
     refs = references(docs)
-    rows = docs.withColumn("text", F.col("text").cast("string"))
+    rows = docs.withColumns({"text": F.col("text").cast("string"), "_lang": F.col("lang").cast("string")})
     fields = [f for f in rows.schema.fields if f.name in keep]
     out = T.StructType([*fields, *T._parse_datatype_string(_RULES).fields])
     names = [f.name for f in fields]
-    source = rows.select(*dict.fromkeys([*names, "text"]))
+    source = rows.select(*dict.fromkeys([*names, "text", "_lang"]))
     return source.mapInArrow(_judge(refs, names, to_arrow_schema(out)), out)

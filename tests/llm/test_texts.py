@@ -298,6 +298,22 @@ def test_quality_rules(spark):
     assert quality.judged(empty(spark)).count() == 0
 
 
+def test_quality_of_small_languages(spark):
+    """What a document gets depends on its text, not on its language's part of the corpus."""
+    r = random.Random(12)
+    spread = [f"word{k}" for k in range(3000)]
+    letters = "абвгдежзиклмнопрст"
+    slavic = ["и", "в", "не", *("".join(r.choice(letters) for _ in range(6)) for _ in range(300))]
+    clean = lambda words: " ".join(r.choice(words[:3]) if r.random() < 0.3 else r.choice(words) for _ in range(80)) + "."
+    rows = [(k, " ".join(r.choice(["the", "of", "and"]) if r.random() < 0.3 else r.choice(spread) for _ in range(6000)), "en", "s", 0) for k in range(100)]
+    rows += [(1000 + k, clean(slavic), "ru", "s", 0) for k in range(30)] + [(2000 + k, clean(slavic[::-1]), None, "s", 0) for k in range(3)]
+    rows += [(3000, " ".join(f"{r.choice(slavic)}########" for _ in range(120)), "ru", "s", 0)]
+    got = {x["doc_id"]: x for x in quality.judged(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k]["kept"] != got[k]["base_failed"] for k in got if k < 3000)
+    assert sum(got[k]["kept"] for k in got if 1000 <= k < 3000) > 25 and not got[3000]["kept"]
+    assert got[1000]["chars_divergence"] < 0.05 and all(got[k]["chars_divergence"] is None for k in got if 2000 <= k < 3000)
+
+
 def test_divergence():
     p = np.array([0.5, 0.5, 0.0])
     assert quality.divergence(p, p) == pytest.approx(0) and quality.divergence(p, np.array([0, 0, 1.0])) == pytest.approx(1)
