@@ -29,6 +29,9 @@ LEAST_WORDS, LEAST_DOCS, WORD_PART = 2000, 20, 0.005
 GUARD_CHARS, GUARD_WORDS = 30, 60
 #: Divergences (base 2, 0 to 1) beyond which a text is unlike its nearest language.
 MAX_CHARS, MAX_COMMON = 0.12, 0.18
+#: A text in which its nearest language would have EXPECTED common words or more has this part of them, or is unlike it: its
+#: second divergence can't tell, as the common words are a small part of all.
+LEAST_COMMON, EXPECTED = 0.1, 12
 
 
 def _byte_classes() -> np.ndarray:
@@ -146,12 +149,13 @@ def _judge(refs, columns: list[str], schema: pa.Schema):
 
     own_langs = {lang for lang, _, _ in refs}
 
-    def verdict(raw: bytes, words: list[bytes], classes: np.ndarray, lang: str | None) -> tuple[float | None, float | None]:
+    def verdict(raw: bytes, words: list[bytes], classes: np.ndarray, lang: str | None) -> tuple[float | None, float | None, bool]:
+        """Both divergences from the nearest language, and whether its common words are missing."""
         if lang not in own_langs or not words:
-            return None, None
+            return None, None, False
         chars = divergence(classes / classes.sum(), char_refs)
         lower = Counter(raw.lower().split())
-        best = (np.inf, 0, 0.0)  # the sum of both divergences, the language, the second divergence
+        best = (np.inf, 0, 0.0, False)  # the sum of both divergences, the language, the second divergence, common words missing
         for k in np.argsort(chars, kind="stable").tolist():
             if chars[k] > best[0]:
                 break
@@ -159,18 +163,19 @@ def _judge(refs, columns: list[str], schema: pa.Schema):
             own = np.zeros(len(parts))
             for w in lower.keys() & place.keys():
                 own[place[w]] = lower[w]
+            few = own.sum() < LEAST_COMMON * len(words) * (1 - parts[-1]) and len(words) * (1 - parts[-1]) >= EXPECTED
             own[-1] = len(words) - own.sum()
             common = float(divergence(own / len(words), parts))
-            best = min(best, (float(chars[k]) + common, k, common))
-        return float(chars[best[1]]), best[2]
+            best = min(best, (float(chars[k]) + common, k, common, bool(few)))
+        return float(chars[best[1]]), *best[2:]
 
     def rules(text: str, lang: str | None) -> tuple:
         raw = text.encode()
         words, classes = raw.split(), char_classes(raw)
         n, again = len(words), repeated_words(words)
         failed = n < MIN_WORDS or 100 * again > MAX_REPEATED * n
-        far = verdict(raw, words, classes, lang)
-        unlike = n >= GUARD_CHARS and far[0] is not None and far[0] > MAX_CHARS or n >= GUARD_WORDS and far[1] is not None and far[1] > MAX_COMMON
+        *far, few = verdict(raw, words, classes, lang)
+        unlike = n >= GUARD_CHARS and far[0] is not None and far[0] > MAX_CHARS or n >= GUARD_WORDS and far[1] is not None and (far[1] > MAX_COMMON or few)
         return n, int(classes.sum() - classes[3] - classes[4]), int(classes[6]), repeated_lines(text), again, failed, not failed and not unlike, *far
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     First pass: histograms of character classes and of words over all documents, by the column lang; a language's
     common words are those with WORD_PART of its words. Second pass: a document's two histograms are held against the
-    nearest language whatever its lang says; it fails where they diverge too far and it has words enough to tell. The
+    nearest language whatever its lang says; it fails where they diverge too far, or the language's common words are missing, and it has words enough to tell. The
     base rules alone judge documents whose lang has no reference, as it has under LEAST_WORDS words or LEAST_DOCS documents.
     word_chars counts code points in words. A null text is empty: it has no words and fails the base rules. Null lang
     is a language of its own; repeated rows are judged each; an empty table gives no rows.

@@ -314,6 +314,17 @@ def test_quality_of_small_languages(spark):
     assert got[1000]["chars_divergence"] < 0.05 and all(got[k]["chars_divergence"] is None for k in got if 2000 <= k < 3000)
 
 
+def test_quality_of_texts_without_common_words(spark):
+    r = random.Random(13)
+    common = [f"and{k}" for k in range(8)]
+    clean = [" ".join(r.choice(common) if r.random() < 0.2 else f"word{r.randrange(3000)}" for _ in range(r.randint(60, 300))) + "." for _ in range(100)]
+    salad = [" ".join("".join(r.choice("abdenorw") for _ in range(r.randint(3, 8))) + f"{r.randrange(10)}" for _ in range(300)) + "." for _ in range(5)]
+    short = [" ".join(f"word{r.randrange(3000)}" for _ in range(50)) + "."]
+    got = {x["doc_id"]: x for x in quality.judged(table(spark, [*clean, *salad, *short])).collect()}
+    assert all(got[k]["kept"] for k in range(100)) and got[105]["kept"]
+    assert all(not got[k]["kept"] and not got[k]["base_failed"] and got[k]["common_divergence"] < quality.MAX_COMMON for k in range(100, 105))
+
+
 def test_divergence():
     p = np.array([0.5, 0.5, 0.0])
     assert quality.divergence(p, p) == pytest.approx(0) and quality.divergence(p, np.array([0, 0, 1.0])) == pytest.approx(1)
