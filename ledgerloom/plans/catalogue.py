@@ -159,7 +159,9 @@ def future_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PRICES} SELECT ticker, d AS trade_date, close FROM prices WHERE ticker BETWEEN '000001' AND '000003' AND d >= DATE '1996-01-01' AND d <= DATE '1996-12-31'")
 def price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prices(spark, sf_dir).where("ticker BETWEEN '000001' AND '000003' AND trade_date BETWEEN DATE'1996-01-01' AND DATE'1996-12-31'")
+    path = S.price_table(spark, sf_dir)
+    one, two, three = (L.prices(spark, path, f"{k:06d}", "1996-01-01", "1996-12-31") for k in (1, 2, 3))
+    return one.unionByName(two).unionByName(three)
 
 
 # ---- metadata -------------------------------------------------------------------------------------------------------

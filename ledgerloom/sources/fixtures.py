@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("ticker"), "trade_date", "close")
 
 
+def price_table(spark: SparkSession, sf_dir: str) -> str:
+    """The path of all prices as a Parquet table, in the folder that executors share."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    path = f"{found.rstrip('/')}/ledgerloom/prices-{uuid.uuid4().hex}"
+    prices(spark, sf_dir).write.parquet(path)
+    return path
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.lpad((F.col("o_custkey") % 100).cast("string"), 6, "0").alias("ticker"), F.col("o_orderdate").cast("date").alias("report_date"))
 

@@ -3,7 +3,7 @@
 from ledgerloom.functions.html import listed
 from ledgerloom.operators import model as M
 from ledgerloom.operators.reports import dedup_titles, latest_model
-from ledgerloom.plans import training
+from ledgerloom.plans import catalogue, training
 from ledgerloom.sources import fixtures as S
 from ledgerloom.sources import listings as L
 from ledgerloom.streaming import landing
@@ -94,3 +94,18 @@ def test_stream(spark, sf_dir, tmp_path):
     landing.write(landing.landed(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     got, want = spark.read.parquet(str(tmp_path / "out")), landing.ready(texts)
     assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_prices_within_bounds(spark, sf_dir, monkeypatch):
+    path, every = S.price_table(spark, sf_dir), sorted(map(tuple, S.prices(spark, sf_dir).collect()))
+    rows = lambda *bounds: sorted(map(tuple, L.prices(spark, path, *bounds).collect()))
+    assert rows() == every and len(every) > 1000
+    tickers = sorted({t for t, _, _ in every})
+    assert sum((rows(t) for t in tickers), []) == every
+    first, last = every[0][1], every[5][1]
+    assert rows(tickers[0], str(first), str(last)) == every[:6]
+    assert rows(None, None, str(last)) == [r for r in every if r[1] <= last] and rows(None, str(last)) == [r for r in every if r[1] >= last]
+    calls, prices = [], L.prices
+    monkeypatch.setattr(L, "prices", lambda spark, *given: calls.append(given[1:]) or prices(spark, *given))
+    got = sorted(map(tuple, catalogue.price_range(spark, sf_dir).collect()))
+    assert len(calls) == 3 and got == [r for r in every if r[0] in ("000001", "000002", "000003") and r[1].year == 1996] != []
