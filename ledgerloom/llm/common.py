@@ -33,12 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir")
-        found = f"{warehouse.rstrip('/')}/_scratch"
-    return found.rstrip("/")
+    """The folder that driver and executors share, with its scheme: spark.checkpoint.dir; only where it is unset, one in the warehouse."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    path = spark._jvm.org.apache.hadoop.fs.Path(set_ or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    if not set_ and found.startswith("file:") and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; {found} is local to each machine")
+    return found
 
 
 class Scratch:

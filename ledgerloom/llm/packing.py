@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, content_order, or_empty, rows_of, running_sums, with_bins
-from .tokens import encoder
+from .tokens import as_binary, encoder, ends_after
 
 WINDOW = 2048
 #: Lengths are rounded up to multiples of BIN for the least squares; a combination has DEPTH lengths at most.
@@ -162,11 +162,14 @@ def _tokenize(tokenizer: str, end_id: int):
     schema = arrow_schema(_TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, made = encoder(tokenizer, drops_space=True).encode, TaskContext.get().partitionId() << 36
-        for ids, texts in rows_of(batches, "doc_id", "text", rows=512):
-            raw = [np.append(np.frombuffer(encode(t), "<u4"), np.uint32(end_id)).astype("<u2").tobytes() for t in texts]
-            yield pa.RecordBatch.from_pydict({"uid": list(range(made, made + len(ids))), "doc_id": ids, "n": [len(r) // 2 for r in raw], "ids": raw}, schema=schema)
-            made += len(ids)
+        own, made = encoder(tokenizer), TaskContext.get().partitionId() << 36
+        for batch in batches:
+            docs, at = batch.column("doc_id"), 0
+            for ids, sizes in own.encode_all(batch.column("text")):
+                ids, sizes = ends_after(ids, sizes, end_id, "<u2")
+                n = len(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(made, made + n)), docs.slice(at, n), pa.array(sizes), as_binary(ids, sizes)], schema=schema)
+                made, at = made + n, at + n
 
     return run
 

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_schema, or_empty, rows_of
-from .tokens import encoder
+from .tokens import encoder, ends_after
 
+#: Documents that a reader returns at a time.
+READ = 4096
 #: Stands for a null id in the files of ids.
 NO_ID = -(2**63)
 _MANIFEST = "part int, path string, docs long, tokens long"
 _DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Tokens that a writer holds before it writes them.
-HELD = 1 << 20
 
 
 def _filesystem(uri: str):
@@ -62,39 +62,49 @@ class _Out:
             self.fs.move(self.draft, self.path)
 
 
+class _In:
+    """A flat file of integers: mapped where it is local, else read a range at a time."""
+
+    def __init__(self, uri: str, dtype: str):
+        self.dtype, (fs, path) = np.dtype(dtype), _filesystem(uri)
+        self.file = fs.open_input_file(path) if fs else None
+        self.size = self.file.size() if fs else os.path.getsize(path)
+        self.map = None if fs else np.memmap(path, dtype, "r") if self.size else np.empty(0, dtype)
+
+    def __len__(self) -> int:
+        return self.size // self.dtype.itemsize
+
+    def cut(self, start: int, end: int) -> np.ndarray:
+        if self.file is None:
+            return self.map[start:end]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((max(end, start) - start) * width, start * width), self.dtype)
+
+
 def _mapped(uri: str, dtype: str) -> np.ndarray:
-    fs, path = _filesystem(uri)
-    if fs is None:
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+    """A whole file: mapped where it is local, else in memory."""
+    file = _In(uri, dtype)
+    return file.cut(0, len(file))
 
 
 def _writer(root: str, tokenizer: str, end_id: int, dtype: str):
     schema = arrow_schema(_MANIFEST)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, drops_space=False).encode
-        part, out, docs, tokens, held, size = TaskContext.get().partitionId(), None, 0, 0, [], 0
-        for ids, texts in rows_of(batches, "doc_id", "text"):
+        own, part, out, docs, tokens = encoder(tokenizer), TaskContext.get().partitionId(), None, 0, 0
+        for batch in batches:
             if out is None:
                 path = f"{root}/part-{part:06d}"
                 out = {x: _Out(f"{path}.{x}") for x in ("bin", "off", "doc")}
                 out["off"].write(np.zeros(1, "<i8"))
-            ends = []
-            for text in texts:
-                held.append(np.append(np.frombuffer(encode(text), "<u4"), np.uint32(end_id)).astype(dtype))
-                tokens, size = tokens + len(held[-1]), size + len(held[-1])
-                ends.append(tokens)
-                if size > HELD:
-                    out["bin"].write(np.concatenate(held))
-                    held, size = [], 0
-            docs += len(texts)
-            out["off"].write(np.array(ends, "<i8"))
-            out["doc"].write(np.array([NO_ID if i is None else i for i in ids], "<i8"))
+            for ids, sizes in own.encode_all(batch.column("text")):
+                ids, sizes = ends_after(ids, sizes, end_id, dtype)
+                out["bin"].write(ids)
+                out["off"].write((tokens + np.cumsum(sizes)).astype("<i8"))
+                tokens += len(ids)
+            docs += batch.num_rows
+            out["doc"].write(batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8"))
         if out is not None:
-            if held:
-                out["bin"].write(np.concatenate(held))
             for f in out.values():
                 f.done()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "docs": [docs], "tokens": [tokens]}, schema=schema)
@@ -103,7 +113,7 @@ def _writer(root: str, tokenizer: str, end_id: int, dtype: str):
 
 
 def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, scratch: Scratch, vocabulary: int = 1 << 16) -> DataFrame:
-    """Writes the ids of all texts, in ascending order of doc_id, and returns the manifest (part, path, docs, tokens, base).
+    """Writes the ids of all texts, in ascending order of doc_id, under a fully qualified root, and returns the manifest (part, path, docs, tokens, base).
 
     Documents are dealt into ranges of doc_id, so that the parts' order is the documents'. A part has three flat
     files: .bin with the ids (16-bit if the vocabulary fits, else 32-bit), .off with where each document starts and
@@ -124,12 +134,12 @@ def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, scratc
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_DOCS)
     for paths, dtypes, bases in rows_of(batches, "path", "dtype", "base", rows=1):
-        ids, ends, docs = _mapped(f"{paths[0]}.bin", dtypes[0]), _mapped(f"{paths[0]}.off", "<i8"), _mapped(f"{paths[0]}.doc", "<i8")
-        for at in range(0, len(docs), 4096):
-            cut = ends[at : at + 4097].tolist()
-            crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut, cut[1:])]
+        ids, ends, docs = _In(f"{paths[0]}.bin", dtypes[0]), _In(f"{paths[0]}.off", "<i8"), _In(f"{paths[0]}.doc", "<i8")
+        for at in range(0, len(docs), READ):
+            cut = ends.cut(at, min(at + READ, len(docs)) + 1).tolist()
+            crc = [zlib.crc32(ids.cut(a, b).astype("<u4").tobytes()) for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": [None if d == NO_ID else d for d in docs[at : at + 4096].tolist()],
+                "doc_id": [None if d == NO_ID else d for d in docs.cut(at, at + len(crc)).tolist()],
                 "start": [bases[0] + a for a in cut[:-1]], "n_tokens": [b - a for a, b in zip(cut, cut[1:])], "ids_crc32": crc,
             }, schema=schema)
 

@@ -1,10 +1,12 @@
 """Token ids, token files, packing and the pipeline: exact round trips and brute force."""
 
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -22,11 +24,10 @@ TEXTS = ["Hello there, it's fine.\nNew line", "", None, " ", "a  b\n\n c ", "日
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
-ENCODERS = {path: (tokens.Encoder(path, drops), plain(path)) for path, drops in ((BYTE, False), (WORD, True))}
+ENCODERS = {path: (tokens.Encoder(path), plain(path)) for path in (BYTE, WORD)}
 
 
 @settings(max_examples=300, deadline=None)
@@ -36,10 +37,35 @@ def test_ids_as_the_library_gives_them(text):
         assert own.encode(text) == whole(text).tobytes()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from(" \n\x0b\xa0'saB1½_.éΣ日\x1c\u0307"), max_size=12) | st.sampled_from(["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|>", ""]), max_size=8))
+def test_batches_of_texts(texts):
+    """Texts of every kind side by side, those with the strings of added tokens included."""
+    for own, whole in ENCODERS.values():
+        assert own.known
+        got = list(own.encode_all(pa.array(texts, pa.string())))
+        assert [n for _, sizes in got for n in sizes.tolist()] == [len(whole(t)) for t in texts]
+        assert b"".join(ids.tobytes() for ids, _ in got) == b"".join(whole(t).tobytes() for t in texts)
+
+
+def test_added_tokens_and_other_files(tmp_path, monkeypatch):
+    assert tokens.Encoder(WORD).encode("x <|endoftext|> y") == np.array([343, 49407, 344], "<u4").tobytes()
+    assert 50256 in np.frombuffer(tokens.Encoder(BYTE).encode("a <|endoftext|> b"), "<u4")
+    other = json.loads(open(BYTE, encoding="utf-8").read())
+    other["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    own = tokens.Encoder(str(tmp_path / "other.json"))
+    assert not own.known and own.encode("Some TEXT") == plain(str(tmp_path / "other.json"))("Some TEXT").tobytes() == ENCODERS[BYTE][0].encode("some text")
+    monkeypatch.setattr(tokens, "TOGETHER", 16)
+    texts = ["one", "two three four five six seven", "", "eight", "nine ten eleven twelve thirteen"] * 3
+    got = list(ENCODERS[BYTE][0].encode_all(pa.array(texts)))
+    assert len(got) > 3 and b"".join(ids.tobytes() for ids, _ in got) == b"".join(plain(BYTE)(t).tobytes() for t in texts)
+
+
 def test_kept_units_start_anew(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 3)
-    for path, drops in ((BYTE, False), (WORD, True)):
-        e = tokens.Encoder(path, drops)
+    for path in (BYTE, WORD):
+        e = tokens.Encoder(path)
         for text in ("a b c d e f g", "a b c d e f g h", "x a"):
             assert e.encode(text) == plain(path)(text).tobytes()
 
