@@ -110,16 +110,35 @@ def _sets(sketch, percent: int, shingle: int):
     return run
 
 
-_WHOLE = "cid long, s array<long>"
+_TILED = "block long, i int, j int, side int, cid long, root long, s binary"
+#: Bytes of whole sets that a task passes on in one go.
+PASSED = 8 << 20
 
 
-def _whole(shingle: int):
-    schema = arrow_schema(_WHOLE)
+def _placed_sets(shingle: int):
+    schema = arrow_schema(_TILED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cids, texts in rows_of(batches, "cid", "text", rows=256):
-            made = [(c, s) for c, s in zip(cids, (shingles(t, shingle) for t in texts)) if set_id(s) == c]  # rows may share an id
-            yield pa.RecordBatch.from_pydict({"cid": [c for c, _ in made], "s": [s.view(np.int64).tolist() for _, s in made]}, schema=schema)
+        """Whole sets, made again from their texts, once for each tile that they go to."""
+        out, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+        for cids, places, texts in rows_of(batches, "cid", "places", "text", rows=256):
+            for cid, own, text in zip(cids, places, texts):
+                s = shingles(text, shingle)
+                if set_id(s) != cid:  # another row that shares the id
+                    continue
+                raw = s.tobytes()
+                for p in own:
+                    out.append((p["block"], p["i"], p["j"], p["side"], cid, p["root"], raw))
+                    size += len(raw)
+                    if size > PASSED:
+                        yield told()
+                        out, size = [], 0
+        if out:
+            yield told()
 
     return run
 
@@ -143,7 +162,7 @@ def boundary(sets: DataFrame, percent: int = PERCENT) -> int:
 
 
 def _entries(heads: DataFrame, small: int, percent: int) -> DataFrame:
-    """(key, cid, size, at): two sets that link meet under a key. at: shingles before the key's in the shared order."""
+    """(key, cid, size, central, at): two sets that link meet under a key. at: shingles before the key's in the shared order."""
     pick = F.col("prefix")
     single = F.slice(pick, 1, F.col("size") - F.ceil(F.col("size") * percent / 100).cast("int") + 1)
     # a small set is also listed where a large one may link to it
@@ -152,7 +171,8 @@ def _entries(heads: DataFrame, small: int, percent: int) -> DataFrame:
     subsets = F.when((F.col("size") <= small) & (F.size(pick) >= 2), pairs)
     empty = F.array().cast("array<struct<key:bigint,at:int>>")
     every = F.explode(F.concat(F.coalesce(listed, empty), F.coalesce(subsets, empty)))
-    return heads.select("cid", "size", every.alias("e")).select(F.col("e.key").alias("key"), "cid", "size", F.col("e.at").alias("at"))
+    rows = heads.select("cid", "size", F.col("central").cast("float").alias("central"), every.alias("e"))
+    return rows.select(F.col("e.key").alias("key"), "cid", "size", "central", F.col("e.at").alias("at"))
 
 
 def may_link(a: np.ndarray, b: np.ndarray, na: int, nb: int, counts: np.ndarray, percent: int = PERCENT) -> bool:
@@ -187,10 +207,25 @@ def _screen(sketch, percent: int):
     return run
 
 
-def _screened(pairs: DataFrame, heads: DataFrame, sketch, percent: int) -> DataFrame:
-    """The pairs that their sizes and rarest shingles don't rule out."""
+#: Rows of a hot key that one task joins.
+SALT_ROWS = 1000
+
+
+def _beside(rows: DataFrame, other: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """rows joined with other, which has one row for each key; keys with many rows are dealt out, other's row to each part."""
+    hot = scratch.save(rows.groupBy(key).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts")).where("_parts > 1"), "hot")
+    if hot.isEmpty():
+        return rows.join(other, key)
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    parts = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(parts, [key, "_salt"]).drop("_salt")
+
+
+def _screened(pairs: DataFrame, heads: DataFrame, sketch, percent: int, scratch: Scratch) -> DataFrame:
+    """The saved pairs that their sizes and rarest shingles don't rule out."""
+    heads = scratch.save(_mostly_in(heads.select("cid", "size", "prefix"), "cid", _either(pairs)), "few_heads")
     side = lambda c: heads.select(F.col("cid").alias(c), F.col("size").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("na"), F.col("nb"), percent))
+    both = _beside(_beside(pairs, side("b"), "b", scratch), side("a"), "a", scratch).where(_alike(F.col("na"), F.col("nb"), percent))
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_screen(sketch, percent), _PAIRS)
 
 
@@ -211,66 +246,99 @@ def _either(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
 
 
-def _wholes(ids: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, scratch: Scratch) -> DataFrame:
-    """(cid, s) of the sets with these ids (cid), made again from the texts."""
-    owners = scratch.save(heads.select("cid", F.col("rep").alias("doc_id")).join(ids, "cid"), "owners")
-    return scratch.save(_mostly_in(texts.select("doc_id", "text"), "doc_id", owners).join(owners, "doc_id").select("cid", "text").mapInArrow(_whole(shingle), _WHOLE), "whole")
+def _alike(a, b, percent: int):
+    """Whether sets of these sizes can link."""
+    return F.least(a, b) * 100 >= percent * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link, by their whole sets."""
-    both = pairs.join(whole.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    both = both.withColumn("_i", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("_i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("_i"))).select("a", "b").distinct()
+def _open(size: str, at: str, other_size: str, other_at: str, percent: int):
+    """Whether sets can link whose first common shingle stands at these places at the earliest: enough come after it."""
+    m, i, n, j = (F.col(c) for c in (size, at, other_size, other_at))
+    return _alike(m, n, percent) & (F.least(m - i, n - j) * (100 + percent) >= percent * (m + n))
 
 
-def _alike(a, b, percent: int):
-    """Whether sets of these sizes can link."""
-    return F.least(a, b) * 100 >= percent * F.greatest(a, b)
+#: Sets of a block that meet pair by pair; sets of larger blocks meet in tiles, so pairs grow with the sets and not with their square.
+FEW = 32
+#: Sets, and shingles, of each side of a tile.
+TILE, TILE_SHINGLES = 2000, 1 << 20
+#: What a set is in a tile.
+_PROBE, _LISTED = 1, 2
 
 
-#: Under a key, so many pairs of sets outside the main component with others are compared in tiles, not one by one.
-MANY = 20_000
-#: Sets on each side of a tile.
-TILE = 2000
-_SIDE = ("key", "i", "j", "cid", "root", "s")
-
-
-def _tile(percent: int):
-    def links(key, outside: pa.Table, under: pa.Table) -> pa.Table:
-        """For each set outside, one link into each other component that its tile has a link to."""
-        out_a, out_b = [], []
-        if outside.num_rows and under.num_rows:
-            sets = [np.array(s, np.int64) for s in under["y_s"].to_pylist()]
-            cids, roots, sizes = under["y_cid"].to_numpy(), under["y_root"].to_numpy(), np.array([len(s) for s in sets])
-            tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, owner = tokens[order], owner[order]
-            for cid, root, s in zip(outside["x_cid"].to_pylist(), outside["x_root"].to_pylist(), outside["x_s"].to_pylist()):
-                own = np.array(s, np.int64)
-                first, last = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
-                n = last - first
-                at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-                shared = np.bincount(owner[at], minlength=len(sets))
-                hit = np.flatnonzero((shared * 100 >= percent * (len(own) + sizes - shared)) & (roots != root))
-                for y in hit[np.unique(roots[hit], return_index=True)[1]]:
-                    out_a.append(min(cid, int(cids[y])))
-                    out_b.append(max(cid, int(cids[y])))
-        return pa.table({"a": out_a, "b": out_b}, schema=arrow_schema(_PAIRS))
-
-    return links
-
-
-def _tiled(crowded: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) under crowded keys (key, n, cid, root, main_root): sets outside the main component against all
-    others, in tiles of TILE by TILE sets that list their shingles and scan the lists. Pairs are never written."""
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("cid"), parts).cast("int")
-    every = F.explode(F.sequence(F.lit(0), parts - 1))
-    whole = whole.dropDuplicates(["cid"])
-    outside = crowded.where("root <> main_root").withColumn("i", own).withColumn("j", every).join(whole, "cid").select(*[F.col(c).alias(f"x_{c}") for c in _SIDE])
-    under = crowded.withColumn("j", own).withColumn("i", every).join(whole, "cid").select(*[F.col(c).alias(f"y_{c}") for c in _SIDE])
-    return outside.groupBy("x_key", "x_i", "x_j").cogroup(under.groupBy("y_key", "y_i", "y_j")).applyInArrow(_tile(percent), _PAIRS).distinct()
+def _tiles(percent: int):
+    schema = arrow_schema(_PAIRS)
+
+    def meet(probes: list, listed: list) -> Iterator[tuple[int, int]]:
+        """For each probe one link into each other component that a listed set of its tile links it to."""
+        sets = [np.frombuffer(s, np.uint64) for _, _, s in listed]
+        cids, roots, sizes = np.array([c for c, _, _ in listed]), np.array([r for _, r, _ in listed]), np.array([len(s) for s in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        for cid, root, raw in probes:
+            own = np.frombuffer(raw, np.uint64)
+            first, last = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+            n = last - first
+            at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            shared = np.bincount(owner[at], minlength=len(sets))
+            hit = np.flatnonzero((shared * 100 >= percent * (len(own) + sizes - shared)) & (roots != root))
+            for y in hit[np.unique(roots[hit], return_index=True)[1]].tolist():
+                yield min(cid, int(cids[y])), max(cid, int(cids[y]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles come one after another: rows are sorted by (block, i, j)."""
+        now, sides = None, ({}, {})
+
+        def told() -> Iterator[pa.RecordBatch]:
+            pairs = sorted(set(meet(*(list(x.values()) for x in sides)))) if all(sides) else []
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, schema=schema)
+
+        for rows in rows_of(batches, "block", "i", "j", "side", "cid", "root", "s", rows=256):
+            for block, i, j, side, cid, root, s in zip(*rows):
+                if (block, i, j) != now:
+                    yield from told()
+                    now, sides = (block, i, j), ({}, {})
+                for k, own in enumerate((_PROBE, _LISTED)):
+                    if side & own:
+                        sides[k][cid] = (cid, root, s)
+        yield from told()
+
+    return run
+
+
+#: Bytes of a table that goes to all tasks, at most; beyond that it is joined by a shuffle.
+SENT = 32 << 20
+
+
+def _met_in_tiles(sets: DataFrame, heads: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between sets (block, cid, root, size, probe, listed) of the same block and of other roots, by their whole sets.
+
+    Sets that are probes scan the lists of the shingles of sets that are listed. Either side of a block is dealt into
+    parts of TILE sets and TILE_SHINGLES shingles or so, and each part of one meets each of the other in a tile. So no
+    block is too large for a task, and no pair is written but links.
+    """
+    mass = lambda of, out: F.greatest(F.ceil(F.count_if(of) / TILE), F.ceil(F.sum(F.when(F.col(of), F.col("size"))) / TILE_SHINGLES)).cast("int").alias(out)
+    parts = sets.groupBy("block").agg(mass("probe", "_i"), mass("listed", "_j")).where("_i > 0 AND _j > 0")
+    part, every = (lambda n: F.array(F.pmod(F.xxhash64("cid"), F.col(n)).cast("int"))), (lambda n: F.sequence(F.lit(0), F.col(n) - 1))
+    places = lambda i, j, side: F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: F.struct(x.alias("i"), y.alias("j"), F.lit(side).alias("side")))))
+    both = F.col("probe") & F.col("listed") & (F.col("_i") == 1) & (F.col("_j") == 1)
+    none = F.array().cast("array<struct<i:int,j:int,side:int>>")
+    apart = F.concat(F.when(F.col("probe"), places(part("_i"), every("_j"), _PROBE)).otherwise(none), F.when(F.col("listed"), places(every("_i"), part("_j"), _LISTED)).otherwise(none))
+    rows = sets.join(parts, "block").withColumn("at", F.explode(F.when(both, places(part("_i"), part("_j"), _PROBE | _LISTED)).otherwise(apart)))
+    place = F.struct("block", "at.i", "at.j", "at.side", "root")
+    owners = heads.select("cid", F.col("rep").alias("doc_id")).join(rows.groupBy("cid").agg(F.collect_list(place).alias("places")), "cid")
+    owners = scratch.save(owners, "owners")
+    size = owners.agg(F.sum(64 + 32 * F.size("places"))).first()[0] or 0
+    source = _mostly_in(texts.select("doc_id", "text"), "doc_id", owners).join(F.broadcast(owners) if size <= SENT else owners, "doc_id")
+    rows = source.select("cid", "places", "text").mapInArrow(_placed_sets(shingle), _TILED)
+    return rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_tiles(percent), _PAIRS)
+
+
+def _as_blocks(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Sets for _met_in_tiles() out of pairs (a, b): a block for each b, which is listed."""
+    own = lambda c, probe: pairs.select(F.col("b").alias("block"), F.col(c).alias("cid"), F.lit(probe).alias("probe"), F.lit(not probe).alias("listed")).distinct()
+    return own("a", True).unionByName(own("b", False)).join(heads.select("cid", "size"), "cid").withColumn("root", F.col("cid"))
 
 
 def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -280,11 +348,13 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     shingles first. Sets that link share two of the first few in that order, so small sets write all subsets of two of
     them; large sets, for which that is too many, are listed under the single ones. boundary() sets the dividing size.
 
-    Sets under one key are first held against the most central of them, one link a set and key; components of the
-    links found so join most near copies. Then every set outside its key's main component is held against all sets
-    under the key that are in another component. So no link between components is missed, and pairs within one,
-    which change nothing, are not made; under a key with very many such pairs sets meet in tiles. Sizes, places in the order and the rarest shingles of both sets rule out most
-    pairs; only the sets of the others are made again from their texts and compared.
+    Sets under one key are first held against the most central of them, its leader, one link a set and key; components
+    of the links found so join most near copies. Then every set outside its leader's component is held against all sets
+    under its keys that are in another component. So no link between components is missed, and pairs within one, which
+    change nothing, are not made. Keys with one leader, which near copies share by the hundred, make one block where
+    the sets are few or that costs less than the keys one by one. Blocks of a few sets write pairs, of which sizes, places in the order and
+    rarest shingles rule out most; in larger blocks sets meet in tiles, and only links are written. Whole sets are made
+    again from the texts, for those sets alone that meet others.
 
     A null or empty text has no shingles, links with nothing and is its own component. A row without an id links with
     nothing and has a null component. Repeated rows are linked; ids shared by different texts are one row each. An
@@ -301,28 +371,38 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
 
     keys = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = scratch.save(entries.join(keys, "key"), "met")
-    central = met.join(heads.select("cid", "central"), "cid")
-    met = scratch.save(met.join(central.groupBy("key").agg(F.max_by("cid", "central").alias("main")), "key"), "led")
+    leaders = met.groupBy("key").agg(F.max_by(F.struct("cid", "size", "at"), "central").alias("m"), F.count("*").alias("n"))
+    leaders = scratch.save(leaders.select("key", F.col("m.cid").alias("main"), F.col("m.size").alias("main_size"), F.col("m.at").alias("main_at"), "n"), "leaders")
+    led = scratch.save(met.drop("central").join(leaders, "key"), "led")
+    members = scratch.save(led.groupBy("main", "cid").agg(F.any_value("size").alias("size"), F.min("at").alias("at")), "members")
+    costs = members.groupBy("main").agg(F.count("*").alias("main_n")).join(leaders.groupBy("main").agg(F.sum(F.col("n") * F.col("n")).alias("keys_cost")), "main")
+    costs = scratch.save(costs.withColumn("as_one", (F.col("main_n") <= FEW) | (F.col("main_n") * F.col("main_n") <= F.col("keys_cost"))), "costs")
 
-    stars = met.where("cid <> main").select(F.least("cid", "main").alias("a"), F.greatest("cid", "main").alias("b")).distinct()
-    stars = scratch.save(_screened(stars, heads, sketch, percent), "stars")
-    links = scratch.save(_verified(stars, _wholes(_either(stars), heads, texts, shingle, scratch), percent), "links")
+    stars = led.where(F.col("cid") != F.col("main")).where(_open("size", "at", "main_size", "main_at", percent)).select(F.col("cid").alias("a"), F.col("main").alias("b")).distinct()
+    stars = scratch.save(_screened(scratch.save(stars, "stars"), heads, sketch, percent, scratch), "near")
+    links = scratch.save(_met_in_tiles(_as_blocks(stars, heads), heads, texts, shingle, percent, scratch).distinct(), "links")
 
     roots = components(links, scratch)
     own = lambda df, c, root: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{root}")), c, "left").withColumn(root, F.coalesce(f"_{root}", c)).drop(f"_{root}")
-    placed = own(own(met, "cid", "root"), "main", "main_root").drop("main")
-    open_ = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main_root")).alias("out")).where("out > 0")
-    placed = scratch.save(placed.join(open_, "key"), "placed")
-    crowded = placed.where(F.col("n") * F.col("out") > MANY)
-    packed = scratch.save(_tiled(crowded, _wholes(crowded.select("cid").distinct(), heads, texts, shingle, scratch), percent), "packed")
-    placed = placed.where(F.col("n") * F.col("out") <= MANY)
-    apart = placed.where("root <> main_root").select("key", *[F.col(c).alias(f"x_{c}") for c in ("cid", "size", "at", "root")])
-    cross = apart.join(placed, "key").where("x_root <> root")
-    left = F.least(F.col("x_size") - F.col("x_at"), F.col("size") - F.col("at"))
-    cross = cross.where(_alike(F.col("x_size"), F.col("size"), percent) & (left * (100 + percent) >= percent * (F.col("x_size") + F.col("size"))))
-    cross = cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct()
-    cross = scratch.save(_screened(cross, heads, sketch, percent).join(stars, ["a", "b"], "left_anti"), "cross")
-    more = scratch.save(_verified(cross, _wholes(_either(cross), heads, texts, shingle, scratch), percent), "more")
+    # a block is a leader's keys or one key; at is the least place of the set's keys in it
+    whole_blocks = members.join(costs.where("as_one"), "main").select(F.xxhash64(F.lit(1), "main").alias("block"), (F.col("main_n") <= FEW).alias("few"), "main", "cid", "size", "at")
+    apart = scratch.save(costs.where("NOT as_one").select("main"), "apart")
+    key_blocks = _mostly_in(led, "main", apart).join(apart, "main").select(F.xxhash64(F.lit(2), "key").alias("block"), (F.col("n") <= FEW).alias("few"), "main", "cid", "size", "at")
+    blocks = scratch.save(own(own(whole_blocks.unionByName(key_blocks), "cid", "root"), "main", "main_root"), "blocks")
+    open_ = blocks.groupBy("block").agg(F.count_if(F.col("root") != F.col("main_root")).alias("out")).where("out > 0").select("block")
+    placed = scratch.save(blocks.join(open_, "block").select("block", "few", "cid", "root", "main_root", "size", "at"), "placed")
+
+    many = placed.where("NOT few").select("block", "cid", "root", "size", (F.col("root") != F.col("main_root")).alias("probe"), F.lit(True).alias("listed"))
+    packed = _met_in_tiles(many, heads, texts, shingle, percent, scratch)
+    packed = scratch.save(packed.distinct(), "packed")
+    few = placed.where("few")
+    apart = few.where("root <> main_root").select("block", *[F.col(c).alias(f"x_{c}") for c in ("cid", "size", "at", "root")])
+    cross = apart.join(few, "block").where("x_root <> root")
+    cross = cross.where(_open("x_size", "x_at", "size", "at", percent))
+    cross = scratch.save(cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct(), "cross")
+    cross = scratch.save(_screened(cross, heads, sketch, percent, scratch), "left")
+    more = _met_in_tiles(_as_blocks(cross, heads), heads, texts, shingle, percent, scratch)
+    more = scratch.save(more.distinct(), "more")
     roots = components(links.unionByName(more).unionByName(packed), scratch)
 
     # a component's least document: equal sets first, then sets that link
@@ -334,8 +414,12 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The document of least id of every component, with all columns; repeated rows leave one, rows without an id stay."""
-    kept = linked(docs, percent, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_text")).distinct()
-    rows = docs.withColumn("_text_key", F.xxhash64(or_empty("text")))
-    rows = rows.join(kept, (rows["doc_id"] == F.col("_kept")) & (F.col("_text_key") == F.col("_kept_text")))
-    return rows.dropDuplicates(["_kept", "_kept_text"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The document of least id of every component, with all columns, whatever their names.
+
+    Repeated rows leave one, rows without an id stay. Of rows that share the least id and have different texts one a
+    text stays. A null or empty text is in no group and stays; an empty table gives none.
+    """
+    kept = linked(docs, percent, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("id"), "text_key").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(or_empty("text")).alias("text_key"), F.struct(*docs.columns).alias("row"))
+    rows = rows.where("id IS NOT NULL").join(kept, ["id", "text_key"]).groupBy("id", "text_key").agg(F.first("row").alias("row"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
