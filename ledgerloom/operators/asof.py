@@ -32,11 +32,20 @@ def forward_asof(rows: DataFrame, prices: DataFrame, day: str, out: str, toleran
     return rows.join(right, (rows[ticker] == F.col("_ticker")) & (rows[day] == F.col("_day")), "left").drop("_ticker", "_day")
 
 
-def report_prices(reports: DataFrame, prices: DataFrame, horizon: int = HORIZON, tolerance: int = TOLERANCE) -> DataFrame:
-    """Reports (ticker, report_date, ...) with the price at the report and the one horizon days later.
+def priced_days(prices: DataFrame, horizon: int = HORIZON, tolerance: int = TOLERANCE) -> DataFrame:
+    """(ticker, day, base_date, base_close, future_date, future_close): both lookups of a report of that day.
 
-    Both lookups end horizon + tolerance days after the report, as one fetch of prices would.
+    The base is the first price from the day on, the future one the first from horizon days later on; both lie at most
+    horizon + tolerance days after the day, as one fetch of prices would. A later day's own row has its first price, so
+    the future one is horizon days on in the same calendar, in the one shuffle by ticker that it takes anyway.
     """
-    out = forward_asof(reports, prices, "report_date", "base", horizon + tolerance)
-    out = forward_asof(out.withColumn("_later", F.date_add("report_date", horizon)), prices, "_later", "future", tolerance)
-    return out.drop("_later")
+    days = calendar(prices, horizon + tolerance)
+    later = F.first(F.struct("trade_date", "close")).over(W.partitionBy("ticker").orderBy(F.unix_date("day")).rangeBetween(horizon, horizon))
+    days = days.withColumn("_later", later).withColumn("_later", F.when(F.col("_later.trade_date") <= F.date_add("day", horizon + tolerance), F.col("_later")))
+    return days.select("ticker", "day", F.col("trade_date").alias("base_date"), F.col("close").alias("base_close"), F.col("_later.trade_date").alias("future_date"), F.col("_later.close").alias("future_close"))
+
+
+def report_prices(reports: DataFrame, prices: DataFrame, horizon: int = HORIZON, tolerance: int = TOLERANCE) -> DataFrame:
+    """Reports (ticker, report_date, ...) with the price at the report and the one horizon days later, by one join."""
+    days = priced_days(prices, horizon, tolerance).withColumnsRenamed({"ticker": "_ticker", "day": "_day"})
+    return reports.join(days, (reports["ticker"] == F.col("_ticker")) & (reports["report_date"] == F.col("_day")), "left").drop("_ticker", "_day")

@@ -13,8 +13,8 @@ NO_PRICES, NO_LATER_PRICE = "데이터를 불러올 수 없습니다.", "N일 
 
 
 def with_returns(priced: DataFrame) -> DataFrame:
-    """Adds status, return_pct (unrounded) and label_id. At a base price of 0 the return is null and the label 0."""
-    status = F.when(F.col("report_date").isNull(), "bad date").when(F.col("base_close").isNull(), "no price").when(F.col("future_close").isNull(), "no later price").otherwise("ok")
+    """Adds status, return_pct (unrounded) and label_id. With a base price of 0 or a price row without a close the return is null and the label 0."""
+    status = F.when(F.col("report_date").isNull(), "bad date").when(F.col("base_date").isNull(), "no price").when(F.col("future_date").isNull(), "no later price").otherwise("ok")
     pct = N.return_pct(F.col("base_close"), F.col("future_close"))
     return priced.withColumn("status", status).withColumn("return_pct", pct).withColumn("label_id", F.when(F.col("status") == "ok", N.label_id(pct)))
 

@@ -6,10 +6,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers as N
+from ledgerloom.operators.reports import latest_model
+from ledgerloom.sources.listings import model_folders
 
 # Words of a text that count, passes of training, batch size of the original training (Spark ML has none).
 MAX_TOKENS, EPOCHS = 128, 5
@@ -35,7 +37,17 @@ def save(model: PipelineModel, folder: str, prefix: str = "model_") -> str:
 
 
 def predict(model: PipelineModel, docs: DataFrame) -> DataFrame:
-    """docs with pred_class, pred_label and confidence; the model is loaded once, by the caller."""
-    out = model.transform(docs).withColumn("_p", vector_to_array("probability")).withColumn("pred_class", F.col("prediction").cast("int"))
+    """docs with logits (the raw scores), pred_class, pred_label and confidence; the model is loaded once, by the caller."""
+    out = model.transform(docs).withColumn("logits", vector_to_array("rawPrediction")).withColumn("_p", vector_to_array("probability")).withColumn("pred_class", F.col("prediction").cast("int"))
     out = out.withColumn("confidence", F.array_max("_p") * 100).withColumn("pred_label", N.class_text(F.col("pred_class")))
-    return out.select(*docs.columns, "pred_class", "pred_label", "confidence")
+    return out.select(*docs.columns, "logits", "pred_class", "pred_label", "confidence")
+
+
+def load_latest(spark: SparkSession, base: str) -> PipelineModel:
+    """The model saved last in a folder of models; an error if there is none."""
+    return PipelineModel.load(latest_model(model_folders(spark, base)).first()["path"])
+
+
+def predict_with_latest(docs: DataFrame, base: str) -> DataFrame:
+    """predict() by the model saved last."""
+    return predict(load_latest(docs.sparkSession, base), docs)

@@ -10,15 +10,25 @@ from ledgerloom.functions import numbers as N
 from ledgerloom.functions import text as X
 
 
+def _metadata(text: str):
+    both = lambda t: F.struct(X.security_code(t).alias("ticker"), X.report_date(t).alias("report_date_str"))
+    return F.array(X.let(X.squeeze_digits(F.col(text)), both))
+
+
+def _with(docs: DataFrame, found) -> DataFrame:
+    """docs with the fields of each struct found: a generator's argument is evaluated once a row, however many fields it has."""
+    kept = [c for c in docs.columns if c not in ("ticker", "report_date_str")]
+    return docs.select(*kept, F.inline(found))
+
+
 def extract_metadata(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds ticker and report_date_str, from the raw text without white space between digits; null where missing."""
-    both = X.let(X.squeeze_digits(F.col(text)), lambda t: F.struct(X.security_code(t).alias("ticker"), X.report_date(t).alias("report_date_str")))
-    return docs.withColumn("_found", both).withColumns({c: F.col("_found")[c] for c in ("ticker", "report_date_str")}).drop("_found")
+    return _with(docs, _metadata(text))
 
 
-def with_metadata(docs: DataFrame) -> DataFrame:
-    """Only rows with both a ticker and a date."""
-    return docs.where(~X.missing(F.col("ticker")) & ~X.missing(F.col("report_date_str")))
+def found_metadata(docs: DataFrame, text: str = "raw_text") -> DataFrame:
+    """As extract_metadata(), but only rows with both a ticker and a date."""
+    return _with(docs, F.filter(_metadata(text), lambda m: ~X.missing(m["ticker"]) & ~X.missing(m["report_date_str"])))
 
 
 def assemble_pages(pages: DataFrame, key: str, order: str, text: str) -> DataFrame:
@@ -51,14 +61,20 @@ def result_panel(rows: DataFrame) -> DataFrame:
     return rows.withColumn("panel", F.when(calm, "success").otherwise("error")).withColumn("shown", F.format_string("%.1f", "confidence")).withColumn("progress", N.progress(F.col("confidence")))
 
 
-def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
-    """As many rows of each class as the rarest has, the first by key.
+def balanced(rows: DataFrame, label: str, key: str, ranges: int = 64) -> DataFrame:
+    """As many rows of each class as the rarest has, the first by a numeric key.
 
-    The window's rank is bounded by the rarest class, so Spark cuts each task's rows to that many before it shuffles.
+    Ranges of the key are filled class by class from their counts; only in the range where a class runs full are its
+    rows ranked, so no task ranks a whole class.
     """
     least = rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy(key)))
-    return ranked.where(F.col("_rank") <= least).drop("_rank")
+    rows = _in_ranges(rows, key, ranges)
+    before = F.coalesce(F.sum("count").over(W.partitionBy(label).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    room = rows.groupBy(label, "_range").count().withColumn("_room", least - before).where("_room > 0")
+    room = room.select(F.col(label).alias("_class"), F.col("_range").alias("_own"), "_room", (F.col("count") <= F.col("_room")).alias("_all"))
+    met = rows.join(room, rows[label].eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_own")))
+    ranked = met.where("NOT _all").withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_own").orderBy(key))).where("_rank <= _room")
+    return met.where("_all").unionByName(ranked.drop("_rank")).drop("_class", "_own", "_room", "_all", "_range")
 
 
 def padded_tokens(docs: DataFrame, text: str, most: int = 128) -> DataFrame:
@@ -68,14 +84,19 @@ def padded_tokens(docs: DataFrame, text: str, most: int = 128) -> DataFrame:
     return docs.withColumn("tokens", X.padded(F.col("_t"), F.lit(longest))).drop("_t")
 
 
+def _in_ranges(rows: DataFrame, key: str, ranges: int) -> DataFrame:
+    """Adds _range, between approximate quantiles of a numeric key."""
+    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
+    return rows.withColumn("_range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(key))) if cuts else F.lit(0))
+
+
 def ordinals(rows: DataFrame, key: str, out: str = "ordinal", ranges: int = 64) -> DataFrame:
     """Adds each row's place from 1 in the order of a numeric key.
 
     Rows are ranked inside ranges of the key, between approximate quantiles, and a range starts behind the counts of
     those before it; no task ranks all rows.
     """
-    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
-    rows = rows.withColumn("_range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(key))) if cuts else F.lit(0))
+    rows = _in_ranges(rows, key, ranges)
     before, total = {}, 0
     for r in rows.groupBy("_range").count().orderBy("_range").collect():
         before[r["_range"]], total = total, total + r["count"]

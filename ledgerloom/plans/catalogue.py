@@ -62,6 +62,7 @@ def code_sql(c: str) -> str:
     return f"nullif(regexp_extract({c}, '(^|[^0-9])([0-9]{{6}})([^0-9]|$)', 2), '')"
 
 
+# Date forms and cleaning patterns, in DuckDB's dialect.
 NUMERIC = r"(202[0-6]|2[0-6])[.\-/]\s*(0[1-9]|1[0-2])[.\-/]\s*(0[1-9]|[12]\d|3[01])"
 ENGLISH = r"(?i)(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+(\d{1,2}),\s*(202[0-6])"
 
@@ -89,6 +90,7 @@ def _each(c: str, pattern: str, to: str = "") -> str:
     return f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
 
 
+# Fixed values, as above.
 STEPS = {
     "CLN1": lambda c: f"replace(replace(replace({c}, '.' || chr(10), chr(1)), chr(10), ' '), chr(1), '.' || chr(10))",
     "CLN2": lambda c: _each(c, r"[a-zA-Z0-9_.+\-]+@[a-zA-Z0-9\-]+\.[a-zA-Z0-9\-.]+"),
@@ -157,11 +159,9 @@ def future_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.forward_asof(rows, S.prices(spark, sf_dir), "target", "future", 20).select("report_id", "future_date", "future_close")
 
 
-@query(f"WITH {PRICES} SELECT ticker, d AS trade_date, close FROM prices WHERE ticker BETWEEN '000001' AND '000003' AND d >= DATE '1996-01-01' AND d <= DATE '1996-12-31'")
+@query(f"WITH {PRICES} SELECT ticker, d AS trade_date, close FROM prices WHERE d >= DATE '1993-01-01' AND d <= DATE '1997-12-31'")
 def price_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = S.price_table(spark, sf_dir)
-    one, two, three = (L.prices(spark, path, f"{k:06d}", "1996-01-01", "1996-12-31") for k in (1, 2, 3))
-    return one.unionByName(two).unionByName(three)
+    return L.prices(spark, S.price_table(spark, sf_dir), start="1993-01-01", end="1997-12-31")
 
 
 # ---- metadata -------------------------------------------------------------------------------------------------------
@@ -196,7 +196,7 @@ def parse_date_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TEXTS}, s AS (SELECT report_id, {squeezed('raw_text')} AS t FROM texts), m AS (SELECT report_id, {code_sql('t')} AS ticker, {date_sql('t')} AS report_date_str FROM s) SELECT * FROM m WHERE ticker IS NOT NULL AND report_date_str IS NOT NULL")
 def drop_missing_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.with_metadata(R.extract_metadata(S.report_texts(spark, sf_dir))).drop("raw_text")
+    return R.found_metadata(S.report_texts(spark, sf_dir)).drop("raw_text")
 
 
 # ---- cleaning -------------------------------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
@@ -10,17 +12,17 @@ from ledgerloom.functions.numbers import to_report_date
 from ledgerloom.operators import model as M
 from ledgerloom.operators.asof import report_prices
 from ledgerloom.operators.labeling import label_reports, with_returns
-
-from ledgerloom.operators.reports import extract_metadata, with_metadata
+from ledgerloom.operators.reports import assemble_pages, extract_metadata, found_metadata
+from ledgerloom.sources import listings as L
 
 
 def training_set(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) -> DataFrame:
     """(report_id, text, label) of texts (report_id, raw_text) with a code, a real date and both prices.
 
-    Texts are cleaned after the prices are found, so only rows that stay pay for it. months_ahead: how far the texts'
-    dates run ahead of the prices'.
+    Metadata is read once a text, one join finds both prices, and texts are cleaned after it, so only rows that stay pay
+    for it. months_ahead: how far the texts' dates run ahead of the prices'.
     """
-    found = with_metadata(extract_metadata(texts))
+    found = found_metadata(texts)
     found = found.withColumn("report_date", F.add_months(to_report_date(F.col("report_date_str")), -months_ahead)).where("report_date IS NOT NULL")
     labelled = label_reports(found, prices)
     return labelled.select("report_id", X.clean_report(F.col("raw_text")).alias("text"), F.col("label_id").alias("label"))
@@ -42,3 +44,45 @@ def run(texts: DataFrame, prices: DataFrame, folder: str) -> str | None:
         return None if model is None else M.save(model, folder)
     finally:
         rows.unpersist()
+
+
+def folder_texts(spark: SparkSession, folder: str, read: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
+    """(report_id, raw_text, error) of a folder's report files; the path is the id, and a broken file has its error."""
+    pages = L.pages_of(L.report_files(spark, folder), read)
+    texts = assemble_pages(pages, "path", "page_no", "page_text")
+    errors = pages.groupBy("path").agg(F.max("error").alias("error"))
+    return texts.join(errors, "path").withColumnRenamed("path", "report_id")
+
+
+def run_folder(spark: SparkSession, folder: str, prices: DataFrame, models: str, read: Callable[[bytes], list[str | None]] | None = None) -> tuple[str | None, dict[str, int]]:
+    """From report files to a saved model, whose path comes back beside how many files ended in which status."""
+    texts = folder_texts(spark, folder, read).cache()
+    try:
+        usable = texts.where("error IS NULL").drop("error")
+        counts = {r["status"]: r["n"] for r in batch_report(usable, prices).collect()}
+        broken = texts.where("error IS NOT NULL").count()
+        return run(usable, prices, models), counts | ({"error": broken} if broken else {})
+    finally:
+        texts.unpersist()
+
+
+def crawl(spark: SparkSession, base: str, host: str, folder: str, start: int, end: int, get: Callable[[str], bytes] = L.request, get_sink: Callable[[], Callable[[str, bytes], None]] = L.file_sink) -> DataFrame:
+    """Fetches listing pages start to end, saves the reports that they link in folder, and returns (page, row_idx, title, download_url, path, error).
+
+    A listing or report that can't be had is a row with its error. Of reports with the same title the last is saved, as
+    if each had overwritten the one before.
+    """
+    pages = L.fetch(L.listing_urls(spark, base, start, end), get).cache()
+    try:
+        links = L.report_links(pages.where("error IS NULL").select("page", F.decode("content", "UTF-8").alias("html")), host, folder)
+        last = links.groupBy("path").agg(F.max_by(F.struct("page", "row_idx", "title", "download_url"), F.struct("page", "row_idx")).alias("r")).select("path", "r.*")
+        got = L.fetch(last.withColumnRenamed("download_url", "url"), get).withColumnRenamed("url", "download_url").cache()
+        try:
+            L.save_reports(got.where("error IS NULL"), get_sink)
+            out = got.select("page", "row_idx", "title", "download_url", "path", "error").collect()
+        finally:
+            got.unpersist()
+        out += [(r["page"], None, None, r["url"], None, r["error"]) for r in pages.where("error IS NOT NULL").select("page", "url", "error").collect()]
+        return spark.createDataFrame([tuple(r) for r in out], "page long, row_idx int, title string, download_url string, path string, error string")
+    finally:
+        pages.unpersist()

@@ -12,6 +12,36 @@ from ledgerloom.functions import html as H
 from ledgerloom.functions import text as X
 
 
+# Fixed value: how requests name their client.
+USER_AGENT = "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36"
+
+
+def request(url: str, timeout: float = 60) -> bytes:
+    """The body that a GET of the URL gives."""
+    from urllib.request import Request, urlopen
+
+    with urlopen(Request(url, headers={"User-Agent": USER_AGENT}), timeout=timeout) as answer:
+        return answer.read()
+
+
+def file_sink() -> Callable[[str, bytes], None]:
+    """Writes files, local ones or by their URI; a file appears under its name only once it is whole."""
+    import os
+    import uuid
+
+    from pyarrow import fs
+
+    def put(path: str, content: bytes) -> None:
+        system, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(path))
+        system.create_dir(os.path.dirname(at), recursive=True)
+        draft = f"{at}.{uuid.uuid4().hex}.draft"
+        with system.open_output_stream(draft) as f:
+            f.write(content)
+        system.move(draft, at)
+
+    return put
+
+
 def listing_urls(spark: SparkSession, base: str, start: int, end: int) -> DataFrame:
     """(page, url) of pages start to end, both included; none if start is beyond end."""
     return spark.range(start, max(start, end + 1)).select(F.col("id").alias("page"), F.concat(F.lit(f"{base}?&page="), F.col("id").cast("string")).alias("url"))
@@ -53,7 +83,7 @@ def save_reports(reports: DataFrame, get_sink: Callable[[], Callable[[str, bytes
 
 
 def report_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of a folder whose names end in .pdf, case-sensitive and not below it: path, modificationTime, length, content."""
+    """The files of a folder whose names end in .pdf, case-sensitive and not below it: path, modificationTime, length, content. Spark leaves out files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "false").load(folder)
     return files.withColumn("name", X.last_segment(F.col("path")))
 

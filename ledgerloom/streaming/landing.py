@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators.reports import extract_metadata, with_metadata
+from ledgerloom.operators.reports import found_metadata
 
 SCHEMA = "report_id long, raw_text string"
 
@@ -18,7 +18,7 @@ def landed(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> Da
 
 def ready(reports: DataFrame) -> DataFrame:
     """(report_id, ticker, report_date_str, text) of reports with a code and a date; no state is kept."""
-    found = with_metadata(extract_metadata(reports))
+    found = found_metadata(reports)
     return found.select("report_id", "ticker", "report_date_str", X.clean_report(F.col("raw_text")).alias("text"))
 
 

@@ -11,7 +11,7 @@ at = lambda n: DAY + dt.timedelta(days=n)
 
 
 def labelled(spark, prices, reports=((1, "a", DAY),)):
-    p = spark.createDataFrame([("a", at(n), float(c)) for n, c in prices], "ticker string, trade_date date, close double")
+    p = spark.createDataFrame([("a", at(n), None if c is None else float(c)) for n, c in prices], "ticker string, trade_date date, close double")
     r = spark.createDataFrame(list(reports), "report_id long, ticker string, report_date date")
     return r, p
 
@@ -27,6 +27,8 @@ def labelled(spark, prices, reports=((1, "a", DAY),)):
     ([(0, 100), (51, 90)], None),
     ([(0, 0), (31, 90)], (0.0, 90.0, None, 0)),
     ([(-1, 7), (3, 100), (3, 90), (40, 99)], (90.0, 99.0, 10.0, 0)),
+    ([(0, None), (2, 100), (31, 90)], (None, 90.0, None, 0)),
+    ([(0, 100), (31, None), (32, 90)], (100.0, None, None, 0)),
 ])
 def test_labels(spark, prices, want):
     rows = label_reports(*labelled(spark, prices)).collect()

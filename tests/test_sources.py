@@ -1,8 +1,12 @@
 """Listings, files, models and the stream."""
 
+import datetime as dt
+
+import pytest
+
 from ledgerloom.functions.html import listed
 from ledgerloom.operators import model as M
-from ledgerloom.operators.reports import dedup_titles, latest_model
+from ledgerloom.operators.reports import balanced, dedup_titles, latest_model
 from ledgerloom.plans import catalogue, training
 from ledgerloom.sources import fixtures as S
 from ledgerloom.sources import listings as L
@@ -106,6 +110,93 @@ def test_prices_within_bounds(spark, sf_dir, monkeypatch):
     assert rows(tickers[0], str(first), str(last)) == every[:6]
     assert rows(None, None, str(last)) == [r for r in every if r[1] <= last] and rows(None, str(last)) == [r for r in every if r[1] >= last]
     calls, prices = [], L.prices
-    monkeypatch.setattr(L, "prices", lambda spark, *given: calls.append(given[1:]) or prices(spark, *given))
+    monkeypatch.setattr(L, "prices", lambda *given, **bounds: calls.append(bounds) or prices(*given, **bounds))
     got = sorted(map(tuple, catalogue.price_range(spark, sf_dir).collect()))
-    assert len(calls) == 3 and got == [r for r in every if r[0] in ("000001", "000002", "000003") and r[1].year == 1996] != []
+    assert len(calls) == 1 and got == [r for r in every if 1993 <= r[1].year <= 1997] != [] and {t for t, _, _ in got} == set(tickers)
+
+
+class Site:
+    """A site of two listing pages, one report that is gone and one title twice."""
+
+    def __init__(self):
+        import http.server
+        import threading
+
+        row = lambda title, href: f'<tr><td>x</td><td><a href="/v">{title}</a></td><td class="file"><a href="{href}">pdf</a></td></tr>'
+        table = lambda *rows: f'<table class="type_1"><tr><th>h</th></tr>{"".join(rows)}</table>'.encode()
+        pages = {"/list?&page=1": table(row("One: a", "/r/1"), row("Two", "/r/2")), "/list?&page=2": table(row("Two", "/r/3"), row("Gone", "/r/404")), "/r/1": b"first", "/r/2": b"second", "/r/3": b"third"}
+        self.agents = agents = set()
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_GET(self):
+                agents.add(self.headers["User-Agent"])
+                found = pages.get(self.path)
+                self.send_response(200 if found else 404)
+                self.end_headers()
+                self.wfile.write(found or b"")
+
+            def log_message(self, *_):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.at = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def test_crawl_of_a_site(spark, tmp_path):
+    site = Site()
+    try:
+        rows = training.crawl(spark, f"{site.at}/list", site.at, str(tmp_path / "pdf"), 1, 3).collect()
+    finally:
+        site.server.shutdown()
+    assert site.agents == {L.USER_AGENT}
+    told = {(r["title"], r["download_url"]): r["error"] for r in rows}
+    assert told.pop(("Gone", f"{site.at}/r/404")) and told.pop((None, f"{site.at}/list?&page=3"))
+    assert told == {("One a", f"{site.at}/r/1"): None, ("Two", f"{site.at}/r/3"): None}
+    assert {p.name: p.read_bytes() for p in (tmp_path / "pdf").iterdir()} == {"One a.pdf": b"first", "Two.pdf": b"third"}
+
+
+def test_folder_to_model_and_prediction(spark, tmp_path):
+    texts = {f"r{k}.pdf": f"({k:06d}) 2024.05.{k + 10}\n실적이 좋다 {'매우' if k % 2 else '나쁘다'}." for k in range(1, 9)} | {"none.pdf": "no code", "bad.pdf": "broken", "note.txt": "x"}
+    (tmp_path / "in").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_bytes(text.encode())
+
+    def read(content: bytes):
+        if content == b"broken":
+            raise ValueError("broken")
+        return content.decode().split("\n")
+
+    day = lambda k: dt.date(2024, 5, k + 10)
+    prices = [(f"{k:06d}", d, c) for k in range(1, 9) for d, c in ((day(k), 100.0), (day(k) + dt.timedelta(days=30), 80.0 if k % 2 else 120.0))]
+    prices = spark.createDataFrame(prices, "ticker string, trade_date date, close double")
+    path, counts = training.run_folder(spark, str(tmp_path / "in"), prices, str(tmp_path / "models"), read)
+    assert counts == {"ok": 8, "no metadata": 1, "error": 1}
+    out = M.predict_with_latest(spark.createDataFrame([("실적이 좋다",)], "text string"), str(tmp_path / "models")).first()
+    assert len(out["logits"]) == 2 and out["pred_class"] == int(out["logits"][1] > out["logits"][0]) and path.startswith(str(tmp_path / "models"))
+    assert training.run_folder(spark, str(tmp_path / "in"), prices.limit(0), str(tmp_path / "models"), read)[0] is None
+
+
+def test_no_model_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="no trained model"):
+        M.load_latest(spark, str(tmp_path))
+
+
+def test_pages_by_the_default_reader(spark, tmp_path):
+    pytest.importorskip("pdfplumber")
+    stream = b"BT /F1 12 Tf 10 100 Td (Report text) Tj ET"
+    parts = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1>>", b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 300 200]/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>", b"<</Length %d>>stream\n%s\nendstream" % (len(stream), stream), b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica>>"]
+    body, at = b"%PDF-1.4\n", []
+    for k, part in enumerate(parts, 1):
+        at.append(len(body))
+        body += b"%d 0 obj\n%s\nendobj\n" % (k, part)
+    table = b"".join(b"%010d 00000 n \n" % x for x in at)
+    (tmp_path / "a.pdf").write_bytes(body + b"xref\n0 6\n0000000000 65535 f \n" + table + b"trailer<</Size 6/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % len(body))
+    assert "Report text" in L.pages_of(L.report_files(spark, str(tmp_path))).first()["page_text"]
+
+
+def test_balanced_classes(spark):
+    rows = [(k, k % 7 // 5) for k in range(500)] + [(1000 + k, None) for k in range(150)]
+    got = balanced(spark.createDataFrame(rows, "id long, label int"), "label", "id").collect()
+    want = [r for c in (0, 1, None) for r in sorted(r for r in rows if r[1] == c)[:142]]
+    assert sorted(tuple(r) for r in got if r[1] is not None) == sorted(r for r in want if r[1] is not None) and len(got) == len(want)
