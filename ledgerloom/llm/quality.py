@@ -81,9 +81,9 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (a.sum(-1) + b.sum(-1)) / 2
 
 
-_PART = "lang string, word string, n long"
-_CHARS = "\0chars"
-_DOCS = f"{_CHARS}{_CLASSES}"
+#: kind: _WORD for a word's count, a class of characters, or _DOCS for documents; all but words have a null word.
+_PART = "lang string, kind int, word string, n long"
+_WORD, _DOCS = -1, _CLASSES
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +92,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told(words: dict, chars: dict):
         for lang in words:
-            rows = [(w.decode(errors="replace"), n) for w, n in words[lang].items()] + [(f"{_CHARS}{k}", int(n)) for k, n in enumerate(chars[lang])]
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "word": [w for w, _ in rows], "n": [n for _, n in rows]}, schema=schema)
+            rows = [(_WORD, w.decode(errors="replace"), n) for w, n in words[lang].items()] + [(k, None, int(n)) for k, n in enumerate(chars[lang])]
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(rows), "kind": [k for k, _, _ in rows], "word": [w for _, w, _ in rows], "n": [n for _, _, n in rows]}, schema=schema)
 
     words: dict[str, Counter] = {}
     chars: dict[str, np.ndarray] = {}
@@ -112,9 +112,9 @@ def references(docs: DataFrame) -> list[tuple[str | None, list[float], dict[str,
     """(language, parts of character classes, parts of common words) of all languages that count, over all documents."""
     counts = docs.select(F.col("lang").cast("string").alias("lang"), or_empty("text").alias("text")).mapInArrow(_count, _PART)
     scratch = Scratch(docs.sparkSession, "quality")
-    counts = scratch.save(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
-    is_word = ~F.col("word").startswith(_CHARS)
-    totals = counts.groupBy("lang").agg(F.sum(F.when(is_word, F.col("n"))).alias("total"), F.sum(F.when(F.col("word") == _DOCS, F.col("n"))).alias("docs"))
+    counts = scratch.save(counts.groupBy("lang", "kind", "word").agg(F.sum("n").alias("n")), "counts")
+    is_word = F.col("kind") == _WORD
+    totals = counts.groupBy("lang").agg(F.sum(F.when(is_word, F.col("n"))).alias("total"), F.sum(F.when(F.col("kind") == _DOCS, F.col("n"))).alias("docs"))
     large = {r["lang"]: r["total"] for r in totals.where((F.col("total") >= LEAST_WORDS) & (F.col("docs") >= LEAST_DOCS)).collect()}
     if not large:
         scratch.drop(counts)
@@ -123,15 +123,15 @@ def references(docs: DataFrame) -> list[tuple[str | None, list[float], dict[str,
     own = counts.join(F.broadcast(least), F.col("lang").eqNullSafe(F.col("_lang")))
     by: dict[str | None, list] = {lang: [] for lang in large}
     for r in own.where(~is_word | (F.col("n") >= F.col("_least"))).collect():
-        by[r["lang"]].append((r["word"], r["n"]))
+        by[r["lang"]].append((r["kind"], r["word"], r["n"]))
     scratch.drop(counts)
     out = []
     for lang, total in sorted(large.items(), key=lambda x: (x[0] is None, x[0] or "")):
         chars = np.zeros(_CLASSES)
-        for word, n in by[lang]:
-            if word.startswith(_CHARS) and word != _DOCS:
-                chars[int(word[len(_CHARS) :])] = n
-        common = {word: n / total for word, n in by[lang] if not word.startswith(_CHARS)}
+        for kind, _, n in by[lang]:
+            if 0 <= kind < _CLASSES:
+                chars[kind] = n
+        common = {word: n / total for kind, word, n in by[lang] if kind == _WORD}
         out.append((lang, (chars / max(1.0, chars.sum())).tolist(), dict(sorted(common.items()))))
     return out
 
@@ -198,7 +198,8 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     nearest language whatever its lang says; it fails where they diverge too far, or the language's common words are missing, and it has words enough to tell. The
     base rules alone judge documents whose lang has no reference, as it has under LEAST_WORDS words or LEAST_DOCS documents.
     word_chars counts code points in words. A null text is empty: it has no words and fails the base rules. Null lang
-    is a language of its own; repeated rows are judged each; an empty table gives no rows.
+    is a language of its own; of languages that are equally near the first by name counts; very long texts are judged
+    whole; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     refs = references(docs)
     rows = docs.withColumns({"text": F.col("text").cast("string"), "_lang": F.col("lang").cast("string")})
