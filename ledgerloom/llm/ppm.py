@@ -29,6 +29,8 @@ HELD_OUT = 10
 FREQUENT = 1 / 8192
 #: The token that ends a text; no word holds white space.
 END_TOKEN = b"\n"
+#: Places to which the base score is rounded: its terms are summed in any order.
+SHOWN = 9
 #: Bytes taken from a text in one go.
 STEP = 1 << 18
 #: Runs of bytes that a task holds before it sorts them.
@@ -290,8 +292,7 @@ def _light(frequent: set[bytes]):
                 words = [w for w in text.encode().lower().split() if w not in frequent]
                 for w in words:
                     lists[w].append(key)
-                lists[END_TOKEN].append(key)  # one for each copy of a row
-                size += len(words) + 1
+                size += len(words)
             if size > LISTED:
                 yield from told()
                 lists, size = defaultdict(list), 0
@@ -341,9 +342,9 @@ def scored(docs: DataFrame) -> DataFrame:
     over all training documents, the latter in texts as their tokens with one blank between. Every context counts; the
     probabilities of all runs that documents have lie in sorted files in the shared folder, which tasks map. Of the words
     only the frequent ones go to all tasks, the counts of all others meet the words of documents in a join on the word,
-    which no word dominates. A null text
-    is empty and has the end alone; a null id counts as empty text for the split; repeated rows are scored each; an
-    empty table gives no rows; without training documents the base score is 0 and bytes are alike.
+    which no word dominates. A null text is empty and has the end alone; a null id counts as empty text for the split;
+    very long texts are counted and scored a stretch at a time; repeated rows are scored each; an empty table gives no
+    rows; other columns are ignored; without training documents the base score is 0 and bytes are alike.
     """
     scratch = Scratch(docs.sparkSession, "ppm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text"))
@@ -358,11 +359,16 @@ def scored(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("_row", F.xxhash64("doc_id", "text"))
     light = rows.select("_row", "text").mapInArrow(_light(set(frequent)), _LIGHT)
-    light = light.join(words, "word", "left").select(F.coalesce("c", F.lit(0)).alias("c"), (F.col("word") == F.lit(END_TOKEN)).alias("end"), F.explode("rows").alias("_row"))
-    light = light.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("rare"), F.count_if(F.col("c") > 0).alias("rare_known"), F.count_if("end").alias("copies"))
-    scores = rows.select("_row", "doc_id", "text").mapInArrow(_score(parts, frequent), _SCORES)
-    base = F.col("often") + F.col("rare") / F.col("copies") - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (distinct + 1))))
-    return scores.join(light, "_row").select(
-        "doc_id", out.alias("held_out"), "n_tokens", (F.col("often_known") + F.col("rare_known") / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+    light = light.join(words.where(F.col("word") != F.lit(END_TOKEN)), "word", "left").select(F.coalesce("c", F.lit(0)).alias("c"), F.explode("rows").alias("_row"))
+    light = light.groupBy("_row").agg(F.sum(F.log10(F.col("c") + 0.1)).alias("rare"), F.count_if(F.col("c") > 0).alias("rare_known"))
+    scores = scratch.save(rows.select("_row", "doc_id", "text").mapInArrow(_score(parts, frequent), _SCORES), "scores")
+    scores = scores.join(scores.groupBy("_row").agg(F.count("*").alias("copies")), "_row").join(light, "_row", "left")
+    # every text has one end; lists have the words of all copies of a row
+    end = words.where(F.col("word") == F.lit(END_TOKEN)).first()
+    ends = end["c"] if end else 0
+    per_copy = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
+    base = F.col("often") + per_copy("rare") + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * F.lit(float(np.log10(total + 0.1 * (distinct + 1))))
+    return scores.select(
+        "doc_id", out.alias("held_out"), "n_tokens", (F.col("often_known") + per_copy("rare_known") + F.lit(int(ends > 0))).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), F.round(base, SHOWN).alias("base_score"), "score",
     )
