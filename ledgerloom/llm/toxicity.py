@@ -18,11 +18,13 @@ from .common import LOWER, UPPER, arrow_schema, or_empty, rows_of, word_hashes,
 BITS = 20
 #: Labelled rows that the classifier learns from at most; below that, all. They are the first by a hash of doc_id.
 TRAIN_ROWS = 16_000
+#: Features of all of them together at most: rows beyond that, in the same order, are not learned from.
+TRAIN_FEATURES = 1 << 25
 #: Passes over the training rows.
 EPOCHS = 6
 #: Every HELD_OUT-th row by crc32 of its doc_id is never learned from.
 HELD_OUT = 5
-_TRAIN = "at long, toxic int, features binary"
+_TRAIN = "doc_id long, at long, toxic int, features binary"
 #: Bytes of a text as words: A-Z in lower case, other ASCII than letters and digits as blanks.
 _WORDS = bytes(ord(LOWER[UPPER.index(chr(b))]) if chr(b) in UPPER else b if chr(b).isalnum() or b >= 0x80 else 0x20 for b in range(256))
 
@@ -74,15 +76,20 @@ def train(rows: list[tuple[int, np.ndarray]], bits: int = BITS, epochs: int = EP
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(_TRAIN)
-    for at, toxic, texts in rows_of(batches, "at", "toxic", "text", rows=512):
-        yield pa.RecordBatch.from_pydict({"at": at, "toxic": toxic, "features": [features(t).tobytes() for t in texts]}, schema=schema)
+    for ids, at, toxic, texts in rows_of(batches, "doc_id", "at", "toxic", "text", rows=512):
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "at": at, "toxic": toxic, "features": [features(t).tobytes() for t in texts]}, schema=schema)
 
 
 _MODEL = "place array<long>, weight array<double>, bias double"
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(y, np.frombuffer(f, np.uint32)) for ys, fs in rows_of(batches, "toxic", "features") for y, f in zip(ys, fs)]
+    rows, size = [], 0
+    for ys, fs in rows_of(batches, "toxic", "features", rows=64):
+        for y, f in zip(ys, fs):
+            size += len(f) // 4
+            if size <= TRAIN_FEATURES:
+                rows.append((y, np.frombuffer(f, np.uint32)))
     place, weight, bias = train(rows)
     yield pa.RecordBatch.from_pydict({"place": [place.tolist()], "weight": [weight.tolist()], "bias": [bias]}, schema=arrow_schema(_MODEL))
 
@@ -93,17 +100,19 @@ def held_out(doc_id: Column, parts: int = HELD_OUT) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Learns from labelled rows that are not held out, train_rows of them at most.
+    """Learns from labelled rows that are not held out, train_rows of them and TRAIN_FEATURES of their features at most.
 
     A doc_id with several labels counts as toxic if one of them says so; labels that are null or without a document
-    teach nothing. The ids, bounded by train_rows, are broadcast, so texts are never shuffled.
+    teach nothing. Of the rows that share a doc_id one teaches, that with the least features as bytes. The ids, bounded
+    by train_rows, are broadcast, so texts are never shuffled; what the training task holds is bounded by both figures.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("at", F.xxhash64("doc_id"))
     marked = marked.orderBy("at", "doc_id").limit(train_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).join(F.broadcast(marked), "doc_id")
-    rows = rows.select("at", "toxic", "text").mapInArrow(_featurize, _TRAIN)
-    model = rows.repartition(1).sortWithinPartitions("at", "toxic", "features").mapInArrow(_learn, _MODEL).first()
+    rows = rows.select("doc_id", "at", "toxic", "text").mapInArrow(_featurize, _TRAIN)
+    rows = rows.groupBy("at", "doc_id").agg(F.max("toxic").alias("toxic"), F.min("features").alias("features"))
+    model = rows.coalesce(1).sortWithinPartitions("at", "doc_id").mapInArrow(_learn, _MODEL).first()
     if model is None:
         return train([])
     return np.array(model["place"], np.int64), np.array(model["weight"], float), model["bias"]
@@ -132,8 +141,8 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
     """A toxicity score from 0 to 1 for every whole text, beside the columns of keep.
 
     The score takes the text alone. A null text is empty and gets the score of no features; without labels of both
-    classes all rows get one score, the share of toxic labels. Repeated rows are scored each; an empty table gives no
-    rows; other columns are ignored.
+    classes all rows get one score, the share of toxic labels. Very long texts are scored whole; repeated rows are
+    scored each; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.withColumn("text", F.col("text").cast("string"))
     fields = [f for f in rows.schema.fields if f.name in keep]
