@@ -37,10 +37,10 @@ _PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{_L}|[{_N}]|{_REST}|\x0b")
 #: Stands between units; none that are encoded together hold it.
 _BETWEEN = "\x0b"
 _ALONE = re.compile(f"{_UNKNOWN}|{_BETWEEN}")
-#: Parts kept by a worker, about 60 MB; when there are more it starts anew.
-KEPT = 400_000
+#: Parts kept by a worker, about 30 MB; when there are more it starts anew.
+KEPT = 200_000
 #: Bytes of text encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 3 << 20
 _encoders: dict[str, Encoder] = {}
 
 

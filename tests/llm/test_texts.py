@@ -60,6 +60,52 @@ def test_license_scan(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def brute_labels(text):
+    """(labels, score): phrases, and templates with enough votes in text order on diagonals no more than GAP apart."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    labels, score = set(base(text)[4].split(",")) - {""}, float(base(text)[1] > 0)
+    for template, label in licenses.TEMPLATES:
+        t = template.split()
+        votes = [i for i in range(len(t) - 1) if not (t[i] in licenses.COMMON and t[i + 1] in licenses.COMMON)]
+        needed = len(votes) if len(votes) < licenses.SHORT else math.ceil(licenses.PART * len(votes))
+        hits = sorted((p, i) for p in range(len(words) - 1) for i in votes if words[p : p + 2] == t[i : i + 2])
+        for d in {p - i for p, i in hits}:
+            best = {}
+            for p, i in hits:
+                if d <= p - i <= d + licenses.GAP:
+                    best[p, i] = 1 + max((n for (q, j), n in best.items() if q < p and j < i), default=0)
+            got = max(best.values())
+            score = max(score, got / len(votes))
+            labels |= {label} if got >= needed else set()
+    return ",".join(sorted(labels)), score
+
+
+def test_license_spans_are_verified(spark):
+    r = random.Random(14)
+    texts = []
+    for template, _ in licenses.TEMPLATES:
+        t = template.split()
+        pairs = [" ".join(t[k : k + 2]) for k in range(len(t) - 1)]
+        texts += [template, f"x {template.upper()} y", " ".join(pairs[::-1]), " foo bar ".join(pairs), " ".join(r.sample(pairs, len(pairs))), " ".join(r.sample(t, len(t)))]
+        for put in (1, 2, 3):
+            w = list(t)
+            for _ in range(put):
+                w.insert(r.randrange(1, len(w)), r.choice(["new", *t]))
+            texts += [" ".join(w), " ".join(x for k, x in enumerate(t) if k != len(t) // 2), " ".join(w * 3)]
+    rows = {x["doc_id"]: x for x in licenses.scan(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_labels(t)
+        assert rows[i]["labels"] == labels and rows[i]["score"] == pytest.approx(score), t
+    step = len(texts) // len(licenses.TEMPLATES)
+    for k, (template, label) in enumerate(licenses.TEMPLATES):
+        whole, _, backward, spread = (rows[k * step + j] for j in range(4))
+        assert label in whole["labels"].split(",")
+        assert not backward["labels"] or backward["base_labels"] == backward["labels"]
+        assert not spread["labels"] or spread["base_labels"] == spread["labels"]
+    long = next(k for k, (t, _) in enumerate(licenses.TEMPLATES) if len(t.split()) > 18)
+    assert all(rows[long * step + 6 + 3 * j]["labels"] for j in range(3))  # up to three words put in
+
+
 # ---- language model
 def brute_ppm(texts, order=ppm.ORDER):
     seen = [defaultdict(Counter) for _ in range(order + 1)]
@@ -188,8 +234,8 @@ def test_jaccard_join(spark, monkeypatch, small, tile):
     docs = docs.union(docs.where("doc_id < 3"))
     if small is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda sets, percent: small)
-    if tile is not None:  # all pairs of the last round meet in tiles
-        monkeypatch.setattr(jaccard, "MANY", 0)
+    if tile is not None:  # all sets of the last round meet in tiles
+        monkeypatch.setattr(jaccard, "FEW", 0)
         monkeypatch.setattr(jaccard, "TILE", tile)
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked(docs).collect()}
     want = brute_components(list(enumerate(texts)))
@@ -197,6 +243,24 @@ def test_jaccard_join(spark, monkeypatch, small, tile):
     assert len({c for _, c in want.values()}) < len(texts) - 40
 
 
+def test_jaccard_join_of_long_texts(spark):
+    """Texts of 20,000 words, some near copies, beside many short ones that share a passage."""
+    r = random.Random(17)
+    first = [f"w{r.randrange(10**5)}" for _ in range(20_000)]
+    near = [x if k % 400 else "changed" for k, x in enumerate(first)]
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [" ".join(first), " ".join(near), " ".join(first[::-1]), *(f"{passage} " + " ".join(f"s{r.randrange(10**6)}" for _ in range(20)) for _ in range(60)), passage, passage + " more"]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.linked(table(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+    assert got[0][0] > 19_000 and got[0][1] == got[1][1] == 0 and got[2][1] == 2
+
+
+def test_one_of_each_of_clashing_names(spark):
+    docs = table(spark, ["a b c d e f", "A B C D E F", "other words stand in here", None]).withColumns({c: F.lit("x") for c in ("_kept", "_text_key", "text_key", "id", "row", "component_id")})
+    rows = jaccard.one_of_each(docs)
+    assert rows.columns == docs.columns and sorted(x["doc_id"] for x in rows.collect()) == [0, 2, 3] and {x["_text_key"] for x in rows.collect()} == {"x"}
+
+
 def test_one_of_each(spark):
     texts = ["a b c d e f", "A B C D E F", "other words stand in here", (None, "a b c d e f"), (2, "other words stand in here")]
     rows = jaccard.one_of_each(table(spark, texts)).collect()
@@ -224,7 +288,7 @@ def test_jaccard_join_of_other_shingles(spark, monkeypatch, small, tile):
     if small is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda sets, percent: small)
     if tile is not None:
-        monkeypatch.setattr(jaccard, "MANY", 0)
+        monkeypatch.setattr(jaccard, "FEW", 0)
         monkeypatch.setattr(jaccard, "TILE", tile)
     own = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.split()) else frozenset() for t in texts]
     links = [(a, b) for b in range(len(own)) for a in range(b) if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])]
@@ -261,6 +325,46 @@ def test_toxicity_learns_and_holds_out(spark):
     assert len({x["score"] for x in one}) == 1 and one[0]["predicted"] == 0
 
 
+def plain_ftrl(rows, epochs, rule):
+    """The same rule a coordinate at a time, on dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+    ones = sum(y for y, _ in rows)
+    bias, seen = math.log(ones / (len(rows) - ones)), 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= rule.l1 else -(z[i] - math.copysign(rule.l1, z[i])) / ((rule.beta + math.sqrt(n[i])) / rule.alpha + rule.l2)
+    for _ in range(epochs):
+        for y, f in rows:
+            w = {int(i): weight(int(i)) for i in f}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rule.alpha * w[i]
+                n[i] += g * g
+            seen += g * g
+            bias -= g * 0.1 / (1 + math.sqrt(seen))
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_ftrl_against_plain_rule(spark, monkeypatch):
+    r = random.Random(15)
+    texts = [" ".join([*(f"w{r.randrange(60)}" for _ in range(r.randint(0, 25))), *(["vile thing"] if k % 3 == 0 else [])]) for k in range(150)]
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(150)], "doc_id long, quality int, toxic int")
+    docs = table(spark, texts)
+    rule = toxicity.Ftrl(l1=0.5)
+    learned = sorted((h, d) for d, h in docs.select("doc_id", F.xxhash64("doc_id")).collect() if zlib.crc32(str(d).encode()) % 5)
+    rows = [(int(d % 3 == 0), toxicity.features(texts[d])) for _, d in learned]
+    for own in (rule, toxicity.Ftrl()):
+        place, weight, bias = toxicity.train(rows, rule=own)
+        want, want_bias = plain_ftrl(rows, toxicity.EPOCHS, own)
+        assert set(place.tolist()) == set(want) and bias == pytest.approx(want_bias)
+        assert weight.tolist() == pytest.approx([want[i] for i in place.tolist()], rel=1e-6)
+    want, bias = plain_ftrl(rows, toxicity.EPOCHS, toxicity.Ftrl())
+    for x in toxicity.verdicts(docs, labels).collect():
+        assert x["score"] == pytest.approx(1 / (1 + math.exp(-bias - sum(want.get(int(i), 0.0) for i in toxicity.features(texts[x["doc_id"]])))), rel=1e-6)
+    # repeated rows of an id teach once, and the features of all rows are bounded
+    again = toxicity.fit(docs.unionByName(docs).unionByName(docs), labels)
+    first = toxicity.fit(docs, labels)
+    assert again[0].tolist() == first[0].tolist() and again[1].tolist() == first[1].tolist()
+
+
 def test_ftrl_weights_are_sparse():
     r = random.Random(6)
     rows = [(k % 2, toxicity.features(" ".join(["bad" if k % 2 else "good", *(f"n{r.randrange(10**6)}" for _ in range(20))]))) for k in range(300)]
@@ -325,6 +429,52 @@ def test_quality_of_texts_without_common_words(spark):
     assert all(not got[k]["kept"] and not got[k]["base_failed"] and got[k]["common_divergence"] < quality.MAX_COMMON for k in range(100, 105))
 
 
+def brute_verdicts(rows):
+    """doc_id -> kept, by references and divergences in plain Python; rows: (doc_id, text, lang)."""
+    classes = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\x0b\x0c\r", "\n", ".,;:'\"()-?", quality.SYMBOLS]
+    kind = lambda c: next((k for k, x in enumerate(classes) if c in x), 7 if ord(c) < 0x80 else 8)
+    words_of = lambda t: WORD.findall(lower(t or ""))
+    js = lambda p, q: sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q)) / 2
+    share = lambda c, n: [c[k] / max(1, sum(c.values())) for k in n]
+    refs = []
+    for lang in sorted({g for _, _, g in rows}, key=lambda g: (g is None, g or "")):
+        own = [t for _, t, g in rows if g == lang]
+        words, chars = Counter(w for t in own for w in words_of(t)), Counter(kind(c) for t in own for c in t or "")
+        total = sum(words.values())
+        if total >= quality.LEAST_WORDS and len(own) >= quality.LEAST_DOCS:
+            refs.append((lang, share(chars, range(9)), {w: n / total for w, n in words.items() if n >= quality.WORD_PART * total}))
+    out = {}
+    for i, t, g in rows:
+        n, *_, failed = brute_rules(t)
+        unlike = False
+        if words_of(t) and g in {lang for lang, _, _ in refs}:
+            own, of, best = Counter(words_of(t)), share(Counter(kind(c) for c in t), range(9)), None
+            for k, (_, chars, common) in enumerate(refs):
+                mass, found = sum(common.values()), sum(own[w] for w in common)
+                far = js([*(own[w] / n for w in common), 1 - found / n], [*common.values(), max(0, 1 - mass)])
+                few = found < quality.LEAST_COMMON * n * mass and n * mass >= quality.EXPECTED
+                best = min(best or (9, 0), (js(of, chars) + far, k, js(of, chars), far, few))
+            unlike = n >= quality.GUARD_CHARS and best[2] > quality.MAX_CHARS or n >= quality.GUARD_WORDS and (best[3] > quality.MAX_COMMON or best[4])
+        out[i] = not failed and not unlike
+    return out
+
+
+def test_quality_against_plain_rules(spark):
+    r = random.Random(16)
+    tongues = {f"l{k:02d}": [("abc", "àbć", "где", "日本語")[k % 4][j % 3] * 2 + f"{chr(97 + k % 26)}{j}" for j in range(400)] for k in range(40)}
+    rows, i = [], 0
+    for k, (lang, own) in enumerate(tongues.items()):
+        for _ in range(25 if k % 5 else 5):  # some languages are too small for a reference
+            rows.append((i, " ".join(r.choice(own[:4]) if r.random() < 0.3 else r.choice(own) for _ in range(r.randint(8, 260))) + ".", lang))
+            i += 1
+        rows += [(i, " ".join(r.choice(own) + "#|#" for _ in range(90)), lang), (i + 1, " ".join(r.choice(own[200:]) for _ in range(150)), lang)]
+        i += 2
+    rows += [(i, "\0charsfoo \0chars3 " * 3 + "eight more words stand in this odd text here", "l01"), (i + 1, None, "l01"), (i + 2, "", None), (i + 3, "x" * 50_000, "l02")]
+    got = {x["doc_id"]: x["kept"] for x in quality.judged(spark.createDataFrame([(a, b, c, "s", 0) for a, b, c in rows], DOCS)).collect()}
+    want = brute_verdicts(rows)
+    assert got == want and 100 < sum(want.values()) < len(want) - 30
+
+
 def test_divergence():
     p = np.array([0.5, 0.5, 0.0])
     assert quality.divergence(p, p) == pytest.approx(0) and quality.divergence(p, np.array([0, 0, 1.0])) == pytest.approx(1)

@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import mixing, sharding, topk
@@ -150,3 +152,23 @@ def test_tree_draws(spark):
     # a heavier leaf takes rows from others; all that move come to rest in its region, the subtree whose weight changed
     heavier = sharding.descend(sharding.descend(ids, sharding.layout(16), "doc_id", "a"), sharding.layout(16, weights={2: 2.0}), "doc_id", "b")
     assert heavier.where("a <> b AND b >= 8").isEmpty() and not heavier.where("a >= 8 AND b < 8").isEmpty()
+
+
+def plain_descent(doc_id, tree):
+    """The shard of an id, by a walk down the tree with the same draws."""
+    seed = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    node = tree
+    while node.children:
+        draw = lambda c: -math.log(((xxhash.xxh64_intdigest(c.name.encode(), seed) >> 11) + 0.5) / 2**53) / c.weight
+        node = min(node.children, key=draw)
+    return node.shard
+
+
+def test_shards_against_plain_descent(spark):
+    ids = [*range(-50, 3000), None, 2**62, -(2**63)]
+    docs = spark.createDataFrame([(i, "x" * 30_000 if i == 7 else f"text {i}") for i in ids], "doc_id long, text string").withColumns({"shard": F.lit("a clash"), "slot": F.lit(1)})
+    for weights in (None, {0: 3.0, 5: 0.25}):
+        rows = sharding.shard_documents(docs, 16, weights).collect()
+        now, grown = sharding.layout(16, 16, weights), sharding.layout(17, 16, weights)
+        assert [(r["shard"], r["grown_shard"]) for r in rows] == [(plain_descent(r["doc_id"], now), plain_descent(r["doc_id"], grown)) for r in rows]
+        assert len(rows) == len(ids) and {r["size"] for r in rows if r["doc_id"] == 7} == {30_001}
