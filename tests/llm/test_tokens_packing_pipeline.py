@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from test_texts import brute_verdicts
+
 from ledgerloom.llm import jaccard, mixing, packing, quality, tokenbin, tokens, toxicity
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -148,6 +151,20 @@ def test_least_squares():
     assert sorted(packing.combinations(4, 3)) == [(2, 1, 1), (2, 2), (3, 1), (4,)]
 
 
+def brute_groups(rows, n, percent):
+    """doc_id -> the least doc_id that links reach, over all pairs of distinct n-word shingles."""
+    own = {}
+    for r in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in r["text"] or "")) if x]
+        own[r["doc_id"]] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()
+    root = {i: i for i in own}
+    links = [(a, b) for a in own for b in own if a < b and own[a] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])]
+    for _ in own:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"score": F.lit("clash"), "kept": F.lit(1)})
@@ -163,8 +180,11 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
             want = toxicity.verdicts(docs, labels).where("predicted = 0")
         elif k == 1:
             want = quality.judged(docs.drop("kept")).where("kept")
+            kept = brute_verdicts([(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()])
+            assert set(ids) == {i for i, stays in kept.items() if stays}
         elif k == 2:
-            want = jaccard.linked(docs).where("doc_id = component_id")
+            want = jaccard.linked(docs, corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE).where("doc_id = component_id")
+            assert sorted(ids.elements()) == sorted(set(brute_groups(docs.collect(), 5, 80).values()))
         else:
             want = mixing.mix(docs).select(F.explode(F.array_repeat("doc_id", F.when(F.col("taken") > F.col("size"), 2).when(F.col("taken") > 0, 1).otherwise(0))).alias("doc_id"))
         assert ids == Counter(r[0] for r in want.select("doc_id").collect()) and ids
