@@ -3,6 +3,11 @@
 Each stage gets what its predecessor kept, written as Parquet and read again. All stages but the last return the
 columns of documents, and their decisions take effect: rejected documents are gone, a document that the mix reads
 twice is there twice.
+
+All stages take nulls in any column (a null text is empty, a null lang a language of its own, a null source the last
+one; rows without a doc_id are near copies of nothing), texts of any length as a whole, ties, repeated rows (each
+judged alike; of near copies, repeated ones included, one stays), tables without rows, and other columns of any name,
+which they return as they are.
 """
 
 from __future__ import annotations
@@ -32,28 +37,28 @@ def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays below 0.5."""
+    """Documents whose toxicity score stays below 0.5; without labels of both classes, all or none by the share of toxic labels."""
     rows = toxicity.scored(_whole(docs), table(spark, sf_dir, "labels"), keep=("_row",))
     return _back(rows.where("score < 0.5"), docs)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; empty ones are too short for them."""
     return _back(quality.judged(_whole(docs), keep=("_row",)).where("kept"), docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, that of the least id; rows without an id, and empty texts, stay."""
     return jaccard.one_of_each(docs, PERCENT, SHINGLE)
 
 
 def in_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as training reads them."""
+    """Documents as training reads them; empty ones have no words to read and go."""
     return mixing.readings(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; a document read twice is packed twice."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
