@@ -97,9 +97,16 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return finish(total)
 
 
+def in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind each, what Arrow keeps of freed memory goes back, so that a worker stays small between tasks."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, rows: int = 2048) -> Iterator[list[list]]:
     """Python lists of the named columns, a few thousand rows at a time whatever the size of Spark's batches."""
-    for batch in batches:
+    for batch in in_turn(batches):
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]

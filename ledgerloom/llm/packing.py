@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, content_order, or_empty, rows_of, running_sums, with_bins
+from .common import Scratch, arrow_schema, content_order, in_turn, or_empty, rows_of, running_sums, with_bins
 from .tokens import as_binary, encoder, ends_after
 
 WINDOW = 2048
@@ -163,7 +163,7 @@ def _tokenize(tokenizer: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, made = encoder(tokenizer), TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in in_turn(batches):
             docs, at = batch.column("doc_id"), 0
             for ids, sizes in own.encode_all(batch.column("text")):
                 ids, sizes = ends_after(ids, sizes, end_id, "<u2")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, arrow_schema, ngram_hashes, or_empty, rows_of, word_hashes
+from .common import Scratch, arrow_schema, ngram_hashes, in_turn, or_empty, rows_of, word_hashes
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -179,7 +179,7 @@ def _judge(refs, columns: list[str], schema: pa.Schema):
         return n, int(classes.sum() - classes[3] - classes[4]), int(classes[6]), repeated_lines(text), again, failed, not failed and not unlike, *far
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_turn(batches):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 texts, langs = (part.column(part.schema.get_field_index(c)).to_pylist() for c in ("text", "_lang"))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, or_empty, rows_of
+from .common import Scratch, arrow_schema, in_turn, or_empty, rows_of
 from .tokens import encoder, ends_after
 
 #: Documents that a reader returns at a time.
@@ -92,7 +92,7 @@ def _writer(root: str, tokenizer: str, end_id: int, dtype: str):
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, out, docs, tokens = encoder(tokenizer), TaskContext.get().partitionId(), None, 0, 0
-        for batch in batches:
+        for batch in in_turn(batches):
             if out is None:
                 path = f"{root}/part-{part:06d}"
                 out = {x: _Out(f"{path}.{x}") for x in ("bin", "off", "doc")}

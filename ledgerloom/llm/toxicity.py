@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import LOWER, UPPER, arrow_schema, or_empty, rows_of, word_hashes, PLACES, finish
+from .common import LOWER, UPPER, arrow_schema, in_turn, or_empty, rows_of, word_hashes, PLACES, finish
 
 #: Weights are kept for 2**BITS hashed features.
 BITS = 20
@@ -124,7 +124,7 @@ def _score(weights: tuple[np.ndarray, np.ndarray, float], columns: list[str], sc
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << BITS)
         table[place] = weight
-        for batch in batches:
+        for batch in in_turn(batches):
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 own = []
