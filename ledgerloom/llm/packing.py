@@ -37,11 +37,15 @@ def combinations(total: int, depth: int, least: int = 1, most: int | None = None
             yield from ((first, *rest) for rest in combinations(total - first, depth - 1, least, first))
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 with a x near b in least squares, by active sets: columns enter by gradient and leave at zero."""
+def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
+    """x >= 0 with a x near b in least squares, by active sets: columns enter by gradient and leave at zero.
+
+    It ends at the least squares; only if rounding makes sets recur does it end after rounds, three for each column,
+    with an x that is still feasible.
+    """
     n = a.shape[1]
     x, free = np.zeros(n), np.zeros(n, bool)
-    for _ in range(rounds):
+    for _ in range(rounds or 3 * n):
         slope = a.T @ (b - a @ x)
         slope[free] = -np.inf
         enter = int(np.argmax(slope))
