@@ -47,7 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/ledgerloom/{owner}-{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.saved = 0, []
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -56,15 +56,25 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.mode("overwrite").parquet(path)
+        self.saved.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *saved: DataFrame) -> None:
         """Removes tables that no later plan reads."""
-        jvm = self.spark._jvm
         for df in saved:
             for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(folder)
+
+    def keep_only(self, *needed: DataFrame) -> None:
+        """Removes all tables saved here but those that these plans read."""
+        kept = {f.rsplit("/", 2)[1] for df in needed for f in df.inputFiles()}
+        for path in self.saved:
+            if path.rsplit("/", 1)[1] not in kept:
+                self._delete(path)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

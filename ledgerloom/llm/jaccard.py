@@ -410,6 +410,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     least = groups.where("root IS NOT NULL").groupBy("root").agg(F.min("rep").alias("component_id"))
     groups = groups.join(least, "root").select(F.col("cid").alias("_cid"), "component_id")
     out = made.join(groups, (F.col("cid") == F.col("_cid")) & (F.col("size") > 0) & F.col("doc_id").isNotNull(), "left")
+    scratch.keep_only(made, heads, roots)
     return out.select("doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
