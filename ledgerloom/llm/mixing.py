@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, content_order, or_empty, running_sums, with_bins
+from .common import WORD, Scratch, content_order, or_empty, running_sums, with_bins
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -65,6 +65,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, schedules=
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), content_order(F.col("doc_id"), text).alias("_order"),
     )
     rows = rows.withColumn("_group", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))  # a null source is a group too
+    if not keep:  # sizes are counted once; all that follows reads this narrow table
+        rows = Scratch(docs.sparkSession, "mixing").save(rows, "sizes")
     aims = targets(rows.groupBy("_group", "source").agg(F.sum("size").alias("source_size")), weights, schedules, budget, most).drop("source")
     rows = running_sums(with_bins(rows, "_order"), ["_group"], ["_order", "doc_id", "size"], {"_first": "size"}, of_group=aims)
     goal, second = F.floor(F.col("target") + F.lit(0.5)), F.col("_first") + F.col("source_size")
