@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_order, or_empty, running_sums, with_bins
+from .common import Scratch, content_order, or_empty, running_sums, with_bins
 
 #: The standing layout: regions of two racks of four shards.
 RACKS, LEAVES = 2, 4
@@ -87,6 +87,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: dict[int, float]
     )
     rows = descend(rows, layout(shards, shards, weights), "doc_id", "shard")
     rows = descend(rows, layout(shards + 1, shards, weights), "doc_id", "grown_shard")
+    rows = Scratch(docs.sparkSession, "sharding").save(rows, "drawn")  # texts are read once; slots come from this narrow table
     rows = with_bins(rows.withColumn("_one", F.lit(1)).withColumn("_order", content_order(F.col("doc_id"), F.col("text_crc32"))), "_order")
     rows = running_sums(rows, ["shard"], ["_order", "doc_id", "text_crc32"], {"slot": "_one"})
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
