@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, finish, ngram_hashes, or_empty, rows_of, word_hashes
+from .common import Scratch, arrow_schema, bound_batches, finish, ngram_hashes, or_empty, rows_of, word_hashes
 from .components import components
 
 #: Words of a shingle; links need intersection / union of at least PERCENT / 100.
@@ -361,6 +361,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
     sketch = spark.sparkContext.broadcast(frequencies(texts, shingle))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, arrow_schema, ngram_hashes, or_empty, rows_of, word_hashes
+from .common import Scratch, arrow_schema, bound_batches, ngram_hashes, or_empty, rows_of, word_hashes
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -201,6 +201,7 @@ def judged(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     is a language of its own; of languages that are equally near the first by name counts; very long texts are judged
     whole; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     refs = references(docs)
     rows = docs.withColumns({"text": F.col("text").cast("string"), "_lang": F.col("lang").cast("string")})
     fields = [f for f in rows.schema.fields if f.name in keep]

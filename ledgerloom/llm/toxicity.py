@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import LOWER, UPPER, arrow_schema, or_empty, rows_of, word_hashes, PLACES, finish
+from .common import LOWER, UPPER, arrow_schema, bound_batches, or_empty, rows_of, word_hashes, PLACES, finish
 
 #: Weights are kept for 2**BITS hashed features.
 BITS = 20
@@ -144,6 +144,7 @@ def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id"
     classes all rows get one score, the share of toxic labels. Very long texts are scored whole; repeated rows are
     scored each; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.withColumn("text", F.col("text").cast("string"))
     fields = [f for f in rows.schema.fields if f.name in keep]
     out = T.StructType([*fields, T.StructField("score", T.DoubleType())])
