@@ -178,3 +178,17 @@ def running_sums(df: DataFrame, group: list[str], order: list[str], values: dict
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """left with right's other columns, by keys that are never null."""
     return left.join(right.select(*keys, *[c for c in right.columns if c not in keys]), keys)
+
+
+#: Rows of a hot key that one task joins.
+SALT_ROWS = 1000
+
+
+def beside_hot(rows: DataFrame, other: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """rows joined with other, which has one row for each key; keys with many rows are dealt out, other's row to each part."""
+    hot = scratch.save(rows.groupBy(key).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts")).where("_parts > 1"), "hot")
+    if hot.isEmpty():
+        return rows.join(other, key)
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    parts = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return salted.join(parts, [key, "_salt"]).drop("_salt")

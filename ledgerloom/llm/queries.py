@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, mixing, packing, ppm, quality, sharding, tokenbin, topk, toxicity
+from . import jaccard, licenses, mixing, packing, ppm, quality, sharding, simhash, tokenbin, topk, toxicity
 from .common import table
 
 
@@ -50,7 +50,11 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op4_ppm, op5_jaccard, op6_toxicity, op7_sharding, op8_quality, op9_packing, op10_tokens)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op4_ppm, op5_jaccard, op6_toxicity, op7_sharding, op8_quality, op9_packing, op10_tokens, op11_simhash)}
 
 ORACLE = {
     "op1_topk": """
