@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, mixing, packing, ppm, quality, sharding, simhash, tokenbin, topk, toxicity
+from . import align, jaccard, licenses, mixing, packing, ppm, quality, sharding, simhash, tokenbin, topk, toxicity
 from .common import table
 
 
@@ -54,7 +54,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op4_ppm, op5_jaccard, op6_toxicity, op7_sharding, op8_quality, op9_packing, op10_tokens, op11_simhash)}
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_mixing, op3_licenses, op4_ppm, op5_jaccard, op6_toxicity, op7_sharding, op8_quality, op9_packing, op10_tokens, op11_simhash, op12_alignment)}
 
 ORACLE = {
     "op1_topk": """
