@@ -328,7 +328,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _rated(_key, blocks: pa.Table, found: pa.Table) -> pa.Table:
+def _rated(_key, blocks, found):
     """A block's texts, with what its pairs count in all texts."""
     (row,) = blocks.to_pylist()
     code = found.column("code").to_numpy()
