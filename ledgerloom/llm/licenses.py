@@ -86,11 +86,14 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     text = or_empty("text")
     words = F.regexp_extract_all(ascii_lower(text), F.lit(ALNUM_WORD), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_text"), words.alias("_words")).withColumn("n_words", F.size("_words").cast("long"))
-    pairs = F.zip_with(F.col("_words"), F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    pair = lambda a, b: F.struct(F.xxhash64(a, b).alias("h"), a.alias("first"), b.alias("second"))
+    pairs = F.zip_with(F.col("_words"), F.slice("_words", 2, F.greatest(F.size("_words") - 1, F.lit(0))), pair)
     # the first entry stands for the document itself, so that documents without a match stay; the last pair, without a second word, matches nothing
-    rows = rows.select("doc_id", "_text", "n_words", "_words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), pairs)).alias("_at", "h"))
+    itself = F.array(F.struct(F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("second")))
+    # words go with their pair: a row that held all words would make the scan of a text grow with the square of its length
+    rows = rows.select("doc_id", "_text", "n_words", F.posexplode(F.concat(itself, pairs)).alias("_at", "_pair")).select("doc_id", "_text", "n_words", "_at", "_pair.*")
     hits = rows.join(F.broadcast(index.unionByName(marks)), "h")
-    same = (F.get("_words", F.col("_at") - 1) == F.col("a")) & (F.get("_words", F.col("_at")) == F.col("b"))
+    same = (F.col("first") == F.col("a")) & (F.col("second") == F.col("b"))
     hits = hits.where(F.when(F.col("t") == _SENTINEL, F.col("_at") == 0).otherwise((F.col("_at") > 0) & same))
     key = ["doc_id", "_text", "n_words"]
     lines = hits.select(*key, "t", F.when(F.col("t") == _SENTINEL, 0).otherwise(F.col("_at") - 1 - F.col("place")).cast("int").alias("line"), F.expr("shiftleft(1L, vote)").alias("bit"))
