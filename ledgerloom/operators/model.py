@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numbers as N
+from ledgerloom.operators import linear
 from ledgerloom.operators.reports import latest_model
+from ledgerloom.sources import registry
 from ledgerloom.sources.listings import model_folders
 
 # Words of a text that count, passes of training, batch size of the original training (Spark ML has none).
 MAX_TOKENS, EPOCHS = 128, 5
+#: What the manifest of models calls these.
+KIND = "pipeline"
 
 
 def pipeline(features: int = 1 << 16) -> Pipeline:
@@ -28,12 +32,8 @@ def train(rows: DataFrame) -> PipelineModel | None:
 
 
 def save(model: PipelineModel, folder: str, prefix: str = "model_") -> str:
-    """Saves under a name with the minute, and returns the path."""
-    from datetime import datetime
-
-    path = f"{folder}/{prefix}{datetime.now():%Y%m%d_%H%M}"
-    model.write().overwrite().save(path)
-    return path
+    """Saves under a name with the minute, publishes it, and returns the path."""
+    return registry.publish(SparkSession.getActiveSession(), folder, KIND, lambda path: model.write().save(path), prefix)
 
 
 def predict(model: PipelineModel, docs: DataFrame) -> DataFrame:
@@ -45,9 +45,17 @@ def predict(model: PipelineModel, docs: DataFrame) -> DataFrame:
 
 def load_latest(spark: SparkSession, base: str) -> PipelineModel:
     """The model saved last in a folder of models; an error if there is none."""
-    return PipelineModel.load(latest_model(model_folders(spark, base)).first()["path"])
+    return PipelineModel.load(_latest(spark, base)[0])
 
 
 def predict_with_latest(docs: DataFrame, base: str) -> DataFrame:
-    """predict() by the model saved last."""
-    return predict(load_latest(docs.sparkSession, base), docs)
+    """Predictions by the model saved last, of either kind."""
+    path, kind = _latest(docs.sparkSession, base)
+    if kind == linear.KIND:
+        return linear.predict(docs, linear.load(docs.sparkSession, path).weights)
+    return predict(PipelineModel.load(path), docs)
+
+
+def _latest(spark: SparkSession, base: str) -> tuple[str, str]:
+    """By the manifest; in a folder without one, as older runs left it, by the folders' times."""
+    return registry.newest(spark, base) or (latest_model(model_folders(spark, base)).first()["path"], KIND)

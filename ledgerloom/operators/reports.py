@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,10 +31,10 @@ def found_metadata(docs: DataFrame, text: str = "raw_text") -> DataFrame:
     return _with(docs, F.filter(_metadata(text), lambda m: ~X.missing(m["ticker"]) & ~X.missing(m["report_date_str"])))
 
 
-def assemble_pages(pages: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """One text for each document, its pages in order."""
+def assemble_pages(pages: DataFrame, key: str, order: str, text: str, *more: Column) -> DataFrame:
+    """One text for each document, its pages in order, and more aggregates of its pages."""
     own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return pages.groupBy(key).agg(X.join_pages(F.transform(own, lambda p: p["t"])).alias("raw_text"))
+    return pages.groupBy(key).agg(X.join_pages(F.transform(own, lambda p: p["t"])).alias("raw_text"), *more)
 
 
 def dedup_titles(rows: DataFrame, title: str, order: list[str], value: str) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import html as H
 from ledgerloom.functions import numbers as N
 from ledgerloom.functions import text as X
-from ledgerloom.operators import asof, labeling, model
+from ledgerloom.operators import asof, labeling, linear
 from ledgerloom.operators import reports as R
+from ledgerloom.plans import linear_sql as LSQL
 from ledgerloom.plans import training
 from ledgerloom.sources import fixtures as S
 from ledgerloom.sources import listings as L
@@ -372,9 +373,31 @@ def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.balanced(S.read(spark, sf_dir, "labels").select("doc_id", "toxic"), "toxic", "doc_id")
 
 
-@query()
+def _shown_predictions(rows: DataFrame) -> DataFrame:
+    logit = lambda k: (F.round(F.get("logits", k), 6) + 0).alias(f"logit_{k}")
+    return rows.select("doc_id", logit(0), logit(1), "pred_class", "pred_label", F.round("confidence", 6).alias("confidence"))
+
+
+_BATCH = f"CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INTEGER) % {linear.BATCHES}"
+
+
+@query(f"""WITH {LSQL.features("f", "doc_id", "documents")}, r AS MATERIALIZED (SELECT row_number() OVER () AS k, b, x, CAST(toxic AS DOUBLE) AS y, {_BATCH} AS batch FROM f JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+    {LSQL.trained()} {LSQL.predicted("f", "weights", "doc_id")}""")
 def train_predict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trains on the labelled documents and predicts for all."""
     docs = S.read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = S.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("double").alias("label"))
-    return model.predict(model.train(docs.join(labels, "doc_id").select("text", "label")), docs).drop("text")
+    labels = S.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    made = linear.train(docs.join(labels, "doc_id"), key="doc_id")
+    return _shown_predictions(linear.predict(docs, made.weights))
+
+
+@query(f"""WITH {LSQL.features("f", "doc_id", "documents")}, o AS (SELECT unnest(b) AS bucket, toxic FROM f JOIN labels USING (doc_id) WHERE toxic IS NOT NULL),
+    n AS (SELECT bucket, count(*) FILTER (WHERE toxic = 1) AS n1, count(*) FILTER (WHERE toxic = 0) AS n0 FROM o GROUP BY bucket), t AS (SELECT sum(n1) AS t1, sum(n0) AS t0 FROM n),
+    weights AS (SELECT bucket, round(ln((n1 + 1)::DOUBLE / (t1 + {linear.BUCKETS})::DOUBLE) - ln((n0 + 1)::DOUBLE / (t0 + {linear.BUCKETS})::DOUBLE), 6) AS weight FROM n, t
+                UNION ALL SELECT {linear.BIAS}, round(ln((count(*) FILTER (WHERE toxic = 1) + 1)::DOUBLE / (count(*) FILTER (WHERE toxic = 0) + 1)::DOUBLE), 6) FROM labels JOIN documents USING (doc_id))
+    {LSQL.predicted("f", "weights", "doc_id")}""")
+def counted_predict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights from counts of words by class, in one pass, and predictions for all documents."""
+    docs = S.read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = S.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return _shown_predictions(linear.predict(docs, linear.counted(docs.join(labels, "doc_id"))))

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.functions.numbers import to_report_date
+from ledgerloom.operators import linear
 from ledgerloom.operators import model as M
 from ledgerloom.operators.asof import report_prices
 from ledgerloom.operators.labeling import label_reports, with_returns
 from ledgerloom.operators.reports import assemble_pages, extract_metadata, found_metadata
 from ledgerloom.sources import listings as L
+from ledgerloom.sources.shared import Tables
+
+
+#: In what a text may end: all but the first carry no label.
+OK, BROKEN, BARE = "ok", "error", "no metadata"
+STATUSES = [OK, BARE, "bad date", "no price", "no later price", BROKEN]
 
 
 def training_set(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) -> DataFrame:
@@ -24,46 +31,69 @@ def training_set(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) ->
     """
     found = found_metadata(texts)
     found = found.withColumn("report_date", F.add_months(to_report_date(F.col("report_date_str")), -months_ahead)).where("report_date IS NOT NULL")
-    labelled = label_reports(found, prices)
+    return _cleaned(label_reports(found, prices))
+
+
+def _cleaned(labelled: DataFrame) -> DataFrame:
     return labelled.select("report_id", X.clean_report(F.col("raw_text")).alias("text"), F.col("label_id").alias("label"))
 
 
-def batch_report(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) -> DataFrame:
-    """How many texts end in which status: no metadata, bad date, no price, no later price, ok."""
+def rated(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) -> DataFrame:
+    """All texts (report_id, raw_text) with their status and, where it is ok, their label_id; metadata is read once, one join finds both prices.
+
+    A column error, where there is one, marks texts that couldn't be read.
+    """
     rows = extract_metadata(texts)
     rows = rows.withColumn("report_date", F.add_months(to_report_date(F.col("report_date_str")), -months_ahead))
     bare = X.missing(F.col("ticker")) | X.missing(F.col("report_date_str"))
-    return with_returns(report_prices(rows, prices)).select(F.when(bare, "no metadata").otherwise(F.col("status")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    broken = F.col("error").isNotNull() if "error" in texts.columns else F.lit(False)
+    return with_returns(report_prices(rows, prices)).withColumn("status", F.when(broken, BROKEN).when(bare, BARE).otherwise(F.col("status")))
+
+
+def batch_report(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) -> DataFrame:
+    """How many texts end in which status: no metadata, bad date, no price, no later price, ok."""
+    return rated(texts, prices, months_ahead).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def observed_set(texts: DataFrame, prices: DataFrame, months_ahead: int = 0) -> tuple[DataFrame, Observation]:
+    """training_set() of texts, and what counts their statuses as the rows go by: the pass that makes the set fills it."""
+    counts = Observation("statuses")
+    rows = rated(texts, prices, months_ahead).observe(counts, *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
+    return _cleaned(rows.where(F.col("status") == OK)), counts
+
+
+def _trained(texts: DataFrame, prices: DataFrame, folder: str) -> tuple[str | None, dict[str, int]]:
+    spark = texts.sparkSession
+    with Tables(spark, "training") as kept:
+        made, counts = observed_set(texts, prices)
+        made = kept.save(made, "rows")
+        model = M.train(made.select("text", F.col("label").cast("double").alias("label")))
+        return None if model is None else M.save(model, folder), {s: n for s, n in counts.get.items() if n}
 
 
 def run(texts: DataFrame, prices: DataFrame, folder: str) -> str | None:
     """Builds the training set, trains on it and saves the model; None if no row is valid."""
-    rows = training_set(texts, prices).select("text", F.col("label").cast("double").alias("label")).cache()
-    try:
-        model = M.train(rows)
-        return None if model is None else M.save(model, folder)
-    finally:
-        rows.unpersist()
+    return _trained(texts, prices, folder)[0]
+
+
+def run_linear(texts: DataFrame, prices: DataFrame, folder: str) -> tuple[str | None, dict[str, int]]:
+    """As run_folder(), from texts, with a linear model of this library's own: its path, and the statuses' counts."""
+    spark = texts.sparkSession
+    with Tables(spark, "training") as kept:
+        made, counts = observed_set(texts, prices)
+        model = linear.train(kept.save(made, "rows"), key="report_id")
+        return None if model is None else linear.save(model, folder), {s: n for s, n in counts.get.items() if n}
 
 
 def folder_texts(spark: SparkSession, folder: str, read: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
     """(report_id, raw_text, error) of a folder's report files; the path is the id, and a broken file has its error."""
     pages = L.pages_of(L.report_files(spark, folder), read)
-    texts = assemble_pages(pages, "path", "page_no", "page_text")
-    errors = pages.groupBy("path").agg(F.max("error").alias("error"))
-    return texts.join(errors, "path").withColumnRenamed("path", "report_id")
+    return assemble_pages(pages, "path", "page_no", "page_text", F.max("error").alias("error")).withColumnRenamed("path", "report_id")
 
 
 def run_folder(spark: SparkSession, folder: str, prices: DataFrame, models: str, read: Callable[[bytes], list[str | None]] | None = None) -> tuple[str | None, dict[str, int]]:
-    """From report files to a saved model, whose path comes back beside how many files ended in which status."""
-    texts = folder_texts(spark, folder, read).cache()
-    try:
-        usable = texts.where("error IS NULL").drop("error")
-        counts = {r["status"]: r["n"] for r in batch_report(usable, prices).collect()}
-        broken = texts.where("error IS NOT NULL").count()
-        return run(usable, prices, models), counts | ({"error": broken} if broken else {})
-    finally:
-        texts.unpersist()
+    """From report files to a saved model, whose path comes back beside how many files ended in which status; files are read once."""
+    return _trained(folder_texts(spark, folder, read), prices, models)
 
 
 def crawl(spark: SparkSession, base: str, host: str, folder: str, start: int, end: int, get: Callable[[str], bytes] = L.request, get_sink: Callable[[], Callable[[str, bytes], None]] = L.file_sink) -> DataFrame:

@@ -117,10 +117,10 @@ def pages_of(files: DataFrame, read: Callable[[bytes], list[str | None]] | None
 
 
 def model_folders(spark: SparkSession, base: str) -> DataFrame:
-    """(path, modified_at, is_dir) of what lies in a folder, through Spark's file system."""
+    """(path, modified_at, is_dir) of what lies in a folder, through Spark's file system; names that begin with _ or . are no models."""
     at = spark._jvm.org.apache.hadoop.fs.Path(base)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    rows = [(f.getPath().toString(), f.getModificationTime() / 1000.0, f.isDirectory()) for f in found]
+    rows = [(f.getPath().toString(), f.getModificationTime() / 1000.0, f.isDirectory()) for f in found if f.getPath().getName()[:1] not in "_."]
     df = spark.createDataFrame(rows, "path string, at double, is_dir boolean")
     return df.select("path", F.timestamp_seconds("at").alias("modified_at"), "is_dir")
 
