@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +15,10 @@ from .common import Scratch, arrow_schema, beside_hot, bound_batches, or_empty
 
 #: Documents of a language that must have a term, parts that a frequency is told in, terms that are ranked for a group.
 LEAST_DOCS, PARTS, TOP = 3, 1_000_000_000, 200
-#: Terms of a slice of a language's vocabulary, and groups of a block, on average and at most.
-SLICE, BLOCK = 1 << 15, 8
+#: Terms, and numbers of all groups for them, of a slice of a language's vocabulary, about; groups of a block, at most.
+SLICE, SLICE_NUMBERS, BLOCK = 1 << 15, 1 << 20, 8
 #: Terms that a task counts before it passes them on.
-HELD = 200_000
+HELD = 300_000
 
 #: Bytes of terms, A-Z lowered: letters, and all of characters beyond ASCII. Others part terms.
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -32,18 +32,15 @@ def terms_of(text: str) -> list[bytes]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences, and documents, of a task's terms by group; a group without terms has one row without a term."""
-    schema, held = arrow_schema(_COUNTS), {}
+    """Occurrences, and documents, of a task's terms by group; a group has a row without a term too."""
+    schema, held, size = arrow_schema(_COUNTS), {}, 0
     seen: set[tuple[str, str]] = set()
-    size = 0
 
     def told() -> Iterator[pa.RecordBatch]:
-        for (lang, source), own in held.items():
-            items = list(own.items())
-            for at in range(0, len(items), HELD):
-                part = items[at : at + HELD]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([source] * n), pa.array([t for t, _ in part], pa.string()), pa.array([c for _, (c, _) in part], pa.int64()), pa.array([d for _, (_, d) in part], pa.int64())], schema=schema)
+        for (lang, source), (n, docs) in held.items():
+            items = list(n)
+            if items:
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(items)), pa.repeat(source, len(items)), pa.array(items, pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in items], pa.int64())], schema=schema)
 
     for batch in batches:
         langs, sources, texts = (batch.column(k) for k in range(3))
@@ -52,20 +49,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if group not in seen:
                 seen.add(group)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((lang, source, None, 0, 0), schema.types)], schema=schema)
-            words = terms_of(text.as_py())
-            own = held.setdefault(group, {})
-            before = len(own)
-            met: dict[bytes, int] = {}
-            for w in words:
-                met[w] = met.get(w, 0) + 1
-            for w, n in met.items():
-                sums = own.get(w)
-                if sums is None:
-                    own[w] = [n, 1]
-                else:
-                    sums[0] += n
-                    sums[1] += 1
-            size += len(own) - before
+            if group not in held:
+                held[group] = (Counter(), Counter())
+            n, docs = held[group]
+            words, before = terms_of(text.as_py()), len(n)
+            n.update(words)
+            docs.update(set(words))
+            size += len(n) - before
             if size > HELD:
                 yield from told()
                 held.clear()
@@ -92,8 +82,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return d * d // q
 
 
-_VECTORS = "lang string, slice int, block int, source string, total long, vocabulary long, width int, places binary, counts binary"
-_TERMS = "lang string, source string, item string, value long"
+_VECTORS = "lang string, slice int, source string, width int, places binary, counts binary, terms array<string>"
+_VALUES = "lang string, source string, part string, item string, value long"
 
 
 def _packed(x: np.ndarray, steps: bool = False) -> bytes:
@@ -110,65 +100,76 @@ def _unpacked(raw: bytes, steps: bool = False) -> np.ndarray:
     return np.cumsum(x) if steps else x
 
 
-def _vectors(key, rows):
-    """A slice of the vectors of a block's groups, packed: places in the slice, and counts."""
-    lang, slice_, block = (k.as_py() for k in key)
-    by: dict[str, list] = {}
-    sources, places, counts = rows.column("source").to_pylist(), rows.column("place").to_numpy(zero_copy_only=False), rows.column("n").to_numpy()
-    for k, s in enumerate(sources):
-        by.setdefault(s, []).append(k)
-    out = []
-    for s, own in by.items():
-        first, own = own[0], np.array(own)
-        own = own[counts[own] > 0]
-        own = own[np.argsort(places[own])]
-        out.append((lang, slice_, block, s, rows.column("total")[first].as_py(), rows.column("vocabulary")[first].as_py(), rows.column("width")[first].as_py(), _packed(places[own].astype(np.int64), True), _packed(counts[own])))
-    schema = arrow_schema(_VECTORS)
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-
-
-def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The highest TOP terms of each group in a task, by a heap of its own."""
-    heaps: dict[tuple[str, str], list] = {}
-    for batch in batches:
-        x = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-        n, total, all_, all_total, terms = (x[c].to_numpy() for c in ("n", "total", "all", "all_total", "vocabulary"))
-        p, q = shares(n, total, terms), shares(all_, all_total, terms)
-        value = divergence(p, q)
-        over = np.flatnonzero(p > q)
-        langs, sources, items = (x[c].take(pa.array(over)).to_pylist() for c in ("lang", "source", "term"))
-        for lang, source, item, v in zip(langs, sources, items, value[over].tolist()):
-            heap = heaps.setdefault((lang, source), [])
-            entry = (v, bytes(255 - b for b in item.encode()) + b"\xff\xff", item)  # the least is what ranks last
-            if len(heap) < TOP:
-                heapq.heappush(heap, entry)
-            elif entry > heap[0]:
-                heapq.heapreplace(heap, entry)
-    out = [(lang, source, item, v) for (lang, source), heap in heaps.items() for v, _, item in heap]
-    if out:
-        schema = arrow_schema(_TERMS)
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices come one after another, their rows by term: each group's numbers, packed with their places among the
+    slice's terms, and in a row without a source the language's numbers and the terms."""
+    schema, now, held = arrow_schema(_VECTORS), None, []
+
+    def told() -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(held).combine_chunks()
+        terms, sources = (rows.column(c).combine_chunks().dictionary_encode() for c in ("term", "source"))
+        if isinstance(terms, pa.ChunkedArray):
+            terms, sources = terms.combine_chunks(), sources.combine_chunks()
+        place, own = terms.indices.to_numpy().astype(np.int64), sources.indices.to_numpy()
+        n, width = rows.column("n").to_numpy(), len(terms.dictionary)
+        every = np.zeros(width, np.int64)
+        every[place] = rows.column("all").to_numpy()
+        out = [(*now, None, width, None, _packed(every), terms.dictionary.to_pylist())]
+        order = np.argsort(own, kind="stable")
+        ends = np.cumsum(np.bincount(own, minlength=len(sources.dictionary)))
+        for source, part in zip(sources.dictionary.to_pylist(), np.split(order, ends[:-1])):
+            out.append((*now, source, width, _packed(place[part], True), _packed(n[part]), None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
+    for batch in batches:
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        starts = [k for k, key in enumerate(keys) if not k or key != keys[k - 1]]
+        for a, b in zip(starts, [*starts[1:], len(keys)]):
+            if keys[a] != now:
+                if held:
+                    yield from told()
+                now, held = keys[a], []
+            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+    if held:
+        yield from told()
+
+
+def _best(p: np.ndarray, q: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the TOP terms that have more here than there, and what they add; of equal ones the first places."""
+    over = np.flatnonzero((counts > 0) & (p > q))
+    value = divergence(p[over], q[over])
+    if len(over) > TOP:  # a heap of TOP: what lies below its least value is out, of that value the first places stay
+        least = np.partition(value, len(value) - TOP)[len(value) - TOP]
+        above, equal = np.flatnonzero(value > least), np.flatnonzero(value == least)
+        kept = np.concatenate([above, equal[: TOP - len(above)]])
+        over, value = over[kept], value[kept]
+    return over, value
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Seats come one after another, each with its residents in round 0 and then its guests round by round; values of all that meet, both ways."""
-    schema, seat, residents = arrow_schema(_TERMS), None, []
 
-    def share(row: dict) -> tuple[str, np.ndarray]:
-        counts = np.zeros(row["width"], np.int64)
-        counts[_unpacked(row["places"], True)] = _unpacked(row["counts"])
-        return row["source"], shares(counts, row["total"], row["vocabulary"])
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seats come one after another: first the language's numbers, then the residents (round 0), then guests round by round.
 
+    Residents rank their terms against the language, and each two groups that meet are compared both ways.
+    """
+    schema, seat, residents, language, terms = arrow_schema(_VALUES), None, [], None, []
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             if (row["lang"], row["slice"], row["seat"]) != seat:
-                seat, residents = (row["lang"], row["slice"], row["seat"]), []
-            source, p = share(row)
+                seat, residents, language, terms = (row["lang"], row["slice"], row["seat"]), [], None, []
+            numbers = np.zeros(row["width"], np.int64)
+            if row["round"] < 0:
+                language, terms = shares(_unpacked(row["counts"]), row["total"], row["vocabulary"]), row["terms"]
+                continue
+            if row["counts"] is not None:
+                numbers[_unpacked(row["places"], True)] = _unpacked(row["counts"])
+            source, p = row["source"], shares(numbers, row["total"], row["vocabulary"])
             for other, q in residents:
-                out += [(row["lang"], source, other, int(divergence(p, q).sum())), (row["lang"], other, source, int(divergence(q, p).sum()))]
+                out += [(row["lang"], source, "pair", other, int(divergence(p, q).sum())), (row["lang"], other, "pair", source, int(divergence(q, p).sum()))]
             if row["round"] == 0:
                 residents.append((source, p))
+                if language is not None:
+                    out += [(row["lang"], source, "term", terms[k], v) for k, v in zip(*map(np.ndarray.tolist, _best(p, language, numbers)))]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -197,11 +198,12 @@ def audit(docs: DataFrame) -> DataFrame:
     TOP terms that a source has more of than its language, by what they add. Terms are runs of letters, A-Z lowered; a
     language keeps those in LEAST_DOCS of its documents or more.
 
-    Tasks count terms by group; a vocabulary is dealt into slices of some SLICE terms, and a language's groups into
-    blocks of BLOCK. A seat holds a block's vectors in one slice; the packed vectors of other blocks pass it in the
-    rounds of a tournament, and each meeting gives both directions. So a task holds one block and one guest, whatever
-    the number of groups, and a source with a third of all text is as long as any other: one number for each kept term.
-    Terms are ranked by heaps in tasks, whose bests are ranked once more.
+    Tasks count terms by group; one shuffle by term gives each term's sums in its language too. A vocabulary is dealt
+    into slices of some SLICE terms, and a language's groups into blocks of BLOCK. A seat holds a block's vectors in one
+    slice; the packed vectors of other blocks pass it in the rounds of a tournament, and each meeting gives both
+    directions. So a task holds one block and one guest, whatever the number of groups, and a source with a third of
+    all text is as long as any other: one number for each kept term. A seat keeps the TOP terms of each resident in its
+    slice, and those are ranked once more.
 
     A null text, lang or source counts as ''; a group without kept terms has its pairs, and no terms. Repeated rows
     count as often as they stand there; ids are not read. Texts are read whole, however long. A language of one source
@@ -211,56 +213,38 @@ def audit(docs: DataFrame) -> DataFrame:
     bound_batches(spark)
     scratch = Scratch(spark, "divergence")
     texts = docs.select(or_empty("lang").alias("lang"), or_empty("source").alias("source"), or_empty("text").alias("text"))
-    counts = texts.mapInArrow(_counted, _COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = scratch.save(counts, "counts")
-    groups = counts.where("term IS NULL").select("lang", "source")
-    counts = counts.where("term IS NOT NULL")
-
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
-    kept = scratch.save(kept, "kept")
-    langs = groups.groupBy("lang").agg(F.count("*").alias("n_groups")).join(kept.groupBy("lang").agg(F.count("*").alias("vocabulary"), F.sum("all").alias("all_total")), "lang", "left")
-    langs = langs.select("lang", F.ceil(F.col("n_groups") / BLOCK).cast("int").alias("blocks"), F.coalesce("vocabulary", F.lit(0)).cast("long").alias("vocabulary"), F.coalesce("all_total", F.lit(0)).cast("long").alias("all_total"))
-    langs = scratch.save(langs.withColumn("slices", F.greatest(F.lit(1), F.ceil(F.col("vocabulary") / SLICE)).cast("int")), "langs")
-
-    # a term's place: its number in its slice
-    placed = beside_hot(kept.withColumnRenamed("lang", "_l"), langs.select(F.col("lang").alias("_l"), "slices", "vocabulary", "all_total"), "_l", scratch).withColumnRenamed("_l", "lang")
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int")).drop("slices")
-    by_slice = W.partitionBy("lang", "slice")
-    placed = placed.withColumn("place", F.row_number().over(by_slice.orderBy("term")) - 1).withColumn("width", F.count("*").over(by_slice).cast("int"))
-    placed = scratch.save(placed, "placed")
-    entries = scratch.save(counts.select("lang", "source", "term", "n").join(placed, ["lang", "term"]), "entries")
-
-    # groups with their totals and blocks; blocks are runs of the sources' order, whose numbers come from one row a group
-    totals = groups.join(entries.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
+    counts = texts.mapInArrow(_counted, _COUNTS).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = W.partitionBy("lang", "term")
+    counts = counts.withColumn("all", F.sum("n").over(term)).withColumn("in_docs", F.sum("docs").over(term)).withColumn("first", F.row_number().over(term.orderBy("source")) == 1)
+    counts = scratch.save(counts.where(F.col("term").isNull() | (F.col("in_docs") >= LEAST_DOCS)).drop("docs", "in_docs"), "counts")
+    entries = counts.where("term IS NOT NULL")
+
+    # rows of groups, and of languages: few beside the entries
+    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("term").alias("numbers"), F.sum(F.when(F.col("term").isNotNull() & F.col("first"), F.col("all"))).alias("all"), F.count_if(F.col("term").isNotNull() & F.col("first")).alias("terms"))
     number = F.row_number().over(W.partitionBy("lang").orderBy("source")) - 1
-    totals = totals.select("lang", "source", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.floor(number / BLOCK).cast("int").alias("block"))
-    totals = scratch.save(totals, "totals")
-
-    own = _of_groups(entries, totals.select("lang", "source", "total", "block"), scratch)
-    widths = placed.select("lang", "slice", "width").distinct()
-    every = totals.join(langs.select("lang", "slices", "vocabulary"), "lang").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
-    every = every.join(widths, ["lang", "slice"], "left").withColumn("width", F.coalesce("width", F.lit(0)))
-    columns = ["lang", "slice", "block", "source", "total", "vocabulary", "width", "place", "n"]
-    rows = own.select(*columns).unionByName(every.withColumn("place", F.lit(0)).withColumn("n", F.lit(0).cast("long")).select(*columns))
-    vectors = scratch.save(rows.groupBy("lang", "slice", "block").applyInArrow(_vectors, _VECTORS), "vectors")
-
-    seated = vectors.join(langs.select("lang", "blocks"), "lang")
+    sums = scratch.save(sums.withColumn("block", F.floor(number / BLOCK).cast("int")), "sums")
+    langs = sums.groupBy("lang").agg(F.max("block").alias("last"), F.sum("terms").alias("vocabulary"), F.coalesce(F.sum("all"), F.lit(0)).cast("long").alias("all_total"), F.sum("numbers").alias("numbers"))
+    slices = F.greatest(F.lit(1), F.ceil(F.col("vocabulary") / SLICE), F.ceil(F.col("numbers") / SLICE_NUMBERS)).cast("int")
+    langs = scratch.save(langs.select("lang", (F.col("last") + 1).alias("blocks"), "vocabulary", "all_total", slices.alias("slices")), "langs")
+
+    dealt = beside_hot(entries.select("lang", "source", "term", "n", "all"), langs.select("lang", "slices"), "lang", scratch).withColumn("slice", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int"))
+    dealt = dealt.select("lang", "slice", "term", "source", "n", "all").repartition("lang", "slice").sortWithinPartitions("lang", "slice", "term")
+    vectors = scratch.save(dealt.mapInArrow(_vectors, _VECTORS), "vectors")
+
+    # every group has a row in every slice, and the language's row goes to every seat of its slice
+    every = sums.select("lang", "source", "total", "block").join(langs, "lang").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    widths = vectors.where("source IS NULL").select("lang", "slice", F.col("width").alias("_width"))
+    own = every.join(vectors.where("source IS NOT NULL").drop("width", "terms"), ["lang", "slice", "source"], "left").join(widths, ["lang", "slice"], "left")
     home = F.array(F.struct(F.lit(0).alias("round"), F.col("block").alias("seat")))
-    seated = seated.withColumn("_at", F.explode(F.concat(home, rounds(F.col("block"), F.col("blocks")))))
-    seated = seated.select("lang", "slice", F.col("_at.seat").alias("seat"), F.col("_at.round").alias("round"), "source", "total", "vocabulary", "width", "places", "counts")
-    meetings = seated.repartition("lang", "slice", "seat").sortWithinPartitions("lang", "slice", "seat", "round", "source").mapInArrow(_meetings, _TERMS)
-    pairs = meetings.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    own = own.withColumn("_at", F.explode(F.concat(home, rounds(F.col("block"), F.col("blocks")))))
+    columns = ["lang", "slice", "seat", "round", "source", "total", "vocabulary", "width", "places", "counts", "terms"]
+    own = own.select("lang", "slice", "_at.*", "source", "total", "vocabulary", F.coalesce("_width", F.lit(0)).alias("width"), "places", "counts", F.lit(None).cast("array<string>").alias("terms"))
+    whole = vectors.where("source IS NULL").join(langs, "lang").withColumn("seat", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("round", F.lit(-1)).withColumn("total", F.col("all_total"))
+    seated = own.select(*columns).unionByName(whole.select(*columns))
+    met = seated.repartition("lang", "slice", "seat").sortWithinPartitions("lang", "slice", "seat", "round", "source").mapInArrow(_meetings, _VALUES)
+    values = met.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
 
-    terms = scratch.save(own.select("lang", "source", "term", "n", "total", "all", "all_total", "vocabulary").mapInArrow(_ranked, _TERMS), "terms")
     ranks = F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")).cast("int")
-    out = pairs.withColumn("part", F.lit("pair")).unionByName(terms.withColumn("part", F.lit("term"))).withColumn("rank", ranks)
-    out = out.where(F.expr(f"part = 'pair' OR rank <= {TOP}")).select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank")
+    out = values.withColumn("rank", ranks).where(F.expr(f"part = 'pair' OR rank <= {TOP}"))
     scratch.keep_only(out)
-    return out
-
-
-def _of_groups(entries: DataFrame, totals: DataFrame, scratch: Scratch) -> DataFrame:
-    """entries with their groups' totals and blocks."""
-    group = F.struct("lang", "source")
-    other = totals.select(group.alias("_group"), "total", "block")
-    return beside_hot(entries.withColumn("_group", group), other, "_group", scratch).drop("_group")
+    return out.select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank")

@@ -56,6 +56,7 @@ def made(spark, rows):
 def test_small_rows(spark, monkeypatch):
     """Several slices and blocks, nulls, groups without terms, ties, a long text, repeated rows."""
     monkeypatch.setattr(divergence, "SLICE", 7)
+    monkeypatch.setattr(divergence, "SLICE_NUMBERS", 40)
     monkeypatch.setattr(divergence, "BLOCK", 2)
     monkeypatch.setattr(divergence, "HELD", 20)
     draw = random.Random(1)
