@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.shared import remove, shared_dir
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,11 +21,21 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_table(spark: SparkSession, sf_dir: str) -> str:
-    """The path of all prices as a Parquet table, in the folder that executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    path = f"{found.rstrip('/')}/ledgerloom/prices-{uuid.uuid4().hex}"
-    prices(spark, sf_dir).write.parquet(path)
-    return path
+    """The path of all prices as a Parquet table in order of tickers, in the folder that executors share; made once for each state of the input."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(shared_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    told = []
+    for f in sorted(read(spark, sf_dir, "lineitem").inputFiles()):
+        at = path(f)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        told.append(f"{f} {status.getLen()} {status.getModificationTime()}")
+    made = f"{shared_dir(spark)}/ledgerloom/prices-{hashlib.md5(chr(10).join(told).encode()).hexdigest()}"
+    if not fs.exists(path(f"{made}/_SUCCESS")):
+        draft = f"{made}.{uuid.uuid4().hex}"
+        prices(spark, sf_dir).repartitionByRange("ticker").sortWithinPartitions("ticker", "trade_date").write.parquet(draft)
+        if fs.exists(path(made)) or not fs.rename(path(draft), path(made)):  # another run was first
+            remove(spark, draft)
+    return made
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import html as H
 from ledgerloom.functions import text as X
+from ledgerloom.sources import price_source
 
 
 # Fixed value: how requests name their client.
@@ -131,8 +132,9 @@ def single_text(spark: SparkSession, text: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, path: str, ticker: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Prices (ticker, trade_date, close) of a Parquet table; the bounds reach its scan."""
-    df = spark.read.parquet(path).select("ticker", "trade_date", "close")
+    """Prices (ticker, trade_date, close) of a Parquet table, through the price source; the bounds reach its scan."""
+    price_source.register(spark)
+    df = spark.read.format("prices").option("path", path).load()
     if ticker is not None:
         df = df.where(F.col("ticker") == ticker)
     if start is not None:
