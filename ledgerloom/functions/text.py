@@ -154,6 +154,11 @@ def resolve_link(href: Column, host: str) -> Column:
     return F.when(F.startswith(href, F.lit("http")), href).otherwise(F.concat(F.lit(host), href))
 
 
+def listing_url(base: str, page: Column) -> Column:
+    """The URL of a listing's page."""
+    return F.concat(F.lit(f"{base}?&page="), page.cast("string"))
+
+
 def tokens(c: Column, most: int = 128) -> Column:
     """The first words of a text."""
     return F.slice(F.filter(F.split(c, rf"(?U){SPACE}+"), lambda t: t != ""), 1, most)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import html as H
 from ledgerloom.functions import numbers as N
+from ledgerloom.functions import sql as Q
 from ledgerloom.functions import text as X
 from ledgerloom.operators import asof, labeling, linear
 from ledgerloom.operators import reports as R
@@ -258,9 +259,10 @@ def doc_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"), F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query(f"SELECT CAST(i AS BIGINT) AS page, '{LISTING}?&page=' || CAST(i AS VARCHAR) AS url FROM range(60, 62) t(i)")
+@query(f"SELECT page_id AS page, '{LISTING}?&page=' || CAST(page_id AS VARCHAR) AS url FROM pages")
 def listing_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.listing_urls(spark, LISTING, 60, 61)
+    """The URLs of all pages of a listing whose numbers a table has."""
+    return S.read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), X.listing_url(LISTING, F.col("page_id")).alias("url"))
 
 
 @query(f"SELECT page_id, CASE WHEN starts_with(h, 'http') THEN h ELSE '{HOST}' || h END AS download_url FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE '/p/' || CAST(page_id AS VARCHAR) END AS h FROM pages)")
@@ -275,13 +277,23 @@ def extract_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "pages").select("page_id", F.posexplode(H.hrefs(F.col("html"))).alias("at", "href")).select("page_id", F.col("at").cast("bigint").alias("at"), "href")
 
 
-_TABLE = "<table class=\"type_1\"><tr><th>h</th></tr><tr><td>x</td><td><a href=\"/v\"> ", "</a></td><td class=\"file\"><a href=\"", "\">pdf</a></td></tr><tr><td>x</td><td><a href=\"/w\">no file</a></td></tr></table>"
+#: Listing tables of five kinds, after each page's own markup: two rows; a row with markup in its title, in a table of more classes; one without a file; a table of another class; a first row that isn't closed.
+_ROW = ('<tr><td>x</td><td><a href="/v"> ', '</a></td><td class="file new"><a href="', '">pdf</a><a href="/no">x</a></td></tr>')
+_CLASSES = ["type_1", "a type_1", "type_1", "type_10", "type_1"]
+_TITLE = "translate(trim(url), '\\/:*?\"<>|', '')"
 
 
-@query(f"SELECT page_id AS page, 1 - 1 AS row_idx, translate(trim(url), '\\/:*?\"<>|', '') AS title, '/d/' || CAST(page_id AS VARCHAR) AS href, '{HOST}/d/' || CAST(page_id AS VARCHAR) AS download_url, '{FOLDER}/' || translate(trim(url), '\\/:*?\"<>|', '') || '.pdf' AS path FROM pages")
+@query(f"""WITH r AS (SELECT page_id AS page, 0 AS row_idx, CASE page_id % 5 WHEN 1 THEN 'No. ' ELSE '' END || {_TITLE} AS title, '/d/' || CAST(page_id AS VARCHAR) AS href FROM pages WHERE page_id % 5 IN (0, 1, 4)
+    UNION ALL SELECT page_id, 1, 'second ' || CAST(page_id AS VARCHAR), 'https://other.example/' || CAST(page_id AS VARCHAR) FROM pages WHERE page_id % 5 IN (0, 4))
+    SELECT page, row_idx, title, href, CASE WHEN starts_with(href, 'http') THEN href ELSE '{HOST}' || href END AS download_url, '{FOLDER}/' || title || '.pdf' AS path FROM r""")
 def html_css_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.concat(F.lit(_TABLE[0]), F.col("url"), F.lit(_TABLE[1]), F.lit("/d/"), F.col("page_id").cast("string"), F.lit(_TABLE[2]))
-    return L.report_links(S.read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), html.alias("html")), HOST, FOLDER)
+    kind, number = F.col("page_id") % 5, F.col("page_id").cast("string")
+    row = lambda title, href: F.concat(F.lit(_ROW[0]), title, F.lit(_ROW[1]), href, F.lit(_ROW[2]))
+    first = row(F.concat(F.when(kind == 1, "No.\t<b>").otherwise(""), F.when(kind == 1, F.trim("url")).otherwise(F.col("url")), F.when(kind == 1, "</b>").otherwise("")), F.concat(F.lit("/d/"), number))
+    first = F.when(kind == 1, F.regexp_replace(first, "\t", " ")).when(kind == 4, F.regexp_replace(first, "</td></tr>$", "")).when(kind == 2, F.regexp_replace(first, "file new", "none")).otherwise(first)
+    second = F.when(kind.isin(0, 4), row(F.concat(F.lit("second "), number), F.concat(F.lit("https://other.example/"), number))).otherwise("")
+    table = F.concat(F.lit('<table class="'), F.element_at(F.array(*map(F.lit, _CLASSES)), kind.cast("int") + 1), F.lit('"><tr><th>h</th></tr>'), first, second, F.lit("</table>"))
+    return L.report_links(S.read(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.concat("html", table).alias("html")), HOST, FOLDER)
 
 
 @query(f"SELECT p_partkey, title, '{FOLDER}/' || title || '.pdf' AS path FROM (SELECT p_partkey, translate(trim('  ' || p_name || ': \"' || p_type || '\" <' || p_brand || '>*?|/ '), '\\/:*?\"<>|', '') AS title FROM part)")
@@ -291,9 +303,11 @@ def sanitize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read(spark, sf_dir, "part").select("p_partkey", title.alias("title"), X.file_path(FOLDER, title).alias("path"))
 
 
-@query("SELECT p_brand AS title, arg_max(p_partkey, p_partkey) AS p_partkey, count(*) AS n_written FROM part GROUP BY p_brand")
+@query("""SELECT p_brand AS title, p_partkey, n_written FROM (SELECT *, count(*) OVER (PARTITION BY p_brand) AS n_written, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey % 97 DESC, p_partkey DESC) AS k FROM part) WHERE k = 1""")
 def dedup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dedup_titles(S.read(spark, sf_dir, "part").withColumn("title", F.col("p_brand")).withColumn("k", F.col("p_partkey")), "title", ["k"], "p_partkey")
+    """Parts stand for reports: of a title the last page's last row, whatever its key."""
+    rows = S.read(spark, sf_dir, "part").select(F.col("p_brand").alias("title"), F.col("p_size").alias("page"), (F.col("p_partkey") % 97).alias("row_idx"), F.col("p_partkey").alias("k"), "p_partkey")
+    return R.dedup_titles(rows, "title", ["page", "row_idx", "k"], "p_partkey")
 
 
 @query("SELECT page_id, name FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' ELSE '.txt' END AS name FROM pages) WHERE ends_with(name, '.pdf')")
@@ -319,9 +333,12 @@ def key_value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot("report_id", ["base_date", "future_date", "label"], "k", "v")
 
 
-@query("SELECT CAST('실적이 좋다' AS VARCHAR) AS text")
+@query(r"""SELECT doc_id, text FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN chr(9) || ' ' || chr(10) ELSE text END AS text, lang FROM documents)
+    WHERE lang = 'en' AND length(text) >= 200 AND regexp_matches(text, '\S')""")
 def form_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.single_text(spark, "실적이 좋다").unionByName(L.single_text(spark, " \n\t"))
+    """The texts that a form with two fields asks for, blank ones left out."""
+    docs = S.read(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 10 == 3, "\t \n").otherwise(F.col("text")))
+    return L.asked_texts(spark, docs, "lang = :lang AND length(text) >= :least", lang="en", least=200).select("doc_id", "text")
 
 
 # ---- predictions ----------------------------------------------------------------------------------------------------
@@ -401,3 +418,24 @@ def counted_predict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = S.read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return _shown_predictions(linear.predict(docs, linear.counted(docs.join(labels, "doc_id"))))
+
+
+# ---- the same in SQL alone ------------------------------------------------------------------------------------------
+@query(ORACLE["clean_full"])
+def sql_clean_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Q.register(spark)
+    return spark.sql("SELECT report_id, clean_report(raw_text) AS clean FROM {texts}", texts=S.report_texts(spark, sf_dir))
+
+
+@query(ORACLE["drop_missing_metadata"])
+def sql_found_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Q.register(spark)
+    return spark.sql("SELECT report_id, ticker, report_date_str FROM {texts}, LATERAL report_metadata(raw_text) WHERE ticker <> '' AND report_date_str <> ''", texts=S.report_texts(spark, sf_dir))
+
+
+@query(ORACLE["label_reports"])
+def sql_label_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    Q.register(spark)
+    Q.register_prices(spark, S.prices(spark, sf_dir))
+    return spark.sql(f"""SELECT report_id, base_date, base_close, future_date, future_close, shown_pct(return_pct(base_close, future_close)) AS return_pct, label_of(return_pct(base_close, future_close)) AS label_id
+        FROM {{reports}} r JOIN priced_days({N.HORIZON}, {N.TOLERANCE}) d ON d.ticker = r.ticker AND d.day = r.report_date WHERE future_date IS NOT NULL""", reports=S.reports(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,6 +15,7 @@ from ledgerloom.operators import model as M
 from ledgerloom.operators.asof import report_prices
 from ledgerloom.operators.labeling import label_reports, with_returns
 from ledgerloom.operators.reports import assemble_pages, extract_metadata, found_metadata
+from ledgerloom.sources import fetching, report_sink
 from ledgerloom.sources import listings as L
 from ledgerloom.sources.shared import Tables
 
@@ -96,23 +98,46 @@ def run_folder(spark: SparkSession, folder: str, prices: DataFrame, models: str,
     return _trained(folder_texts(spark, folder, read), prices, models)
 
 
-def crawl(spark: SparkSession, base: str, host: str, folder: str, start: int, end: int, get: Callable[[str], bytes] = L.request, get_sink: Callable[[], Callable[[str, bytes], None]] = L.file_sink) -> DataFrame:
+LOG = "run string, at timestamp, page long, row_idx int, title string, download_url string, path string, error string"
+
+
+def crawl(spark: SparkSession, base: str, host: str, folder: str, start: int, end: int, get: Callable[[str], bytes] = L.request, get_sink: Callable[[], Callable[[str, bytes], None]] | None = None, log: str | None = None, **pace) -> DataFrame:
     """Fetches listing pages start to end, saves the reports that they link in folder, and returns (page, row_idx, title, download_url, path, error).
 
     A listing or report that can't be had is a row with its error. Of reports with the same title the last is saved, as
-    if each had overwritten the one before.
+    if each had overwritten the one before. pace: per_second, lanes, tries and wait of fetching.fetch().
+
+    What comes is written once, and all that follows reads it there, so no request is made twice, also where an executor
+    is lost after it. Outcomes are appended to log, a table beside the folder: a later run leaves out reports that an
+    earlier one has saved from the same URL. Nothing of it passes the driver.
     """
-    pages = L.fetch(L.listing_urls(spark, base, start, end), get).cache()
-    try:
+    log, run = log or f"{folder.rstrip('/')}_log", uuid.uuid4().hex
+    saved = _saved_before(spark, log)
+    with Tables(spark, "crawl") as kept:
+        pages = kept.save(fetching.fetch(L.listing_urls(spark, base, start, end), get, **pace), "pages")
         links = L.report_links(pages.where("error IS NULL").select("page", F.decode("content", "UTF-8").alias("html")), host, folder)
         last = links.groupBy("path").agg(F.max_by(F.struct("page", "row_idx", "title", "download_url"), F.struct("page", "row_idx")).alias("r")).select("path", "r.*")
-        got = L.fetch(last.withColumnRenamed("download_url", "url"), get).withColumnRenamed("url", "download_url").cache()
-        try:
-            L.save_reports(got.where("error IS NULL"), get_sink)
-            out = got.select("page", "row_idx", "title", "download_url", "path", "error").collect()
-        finally:
-            got.unpersist()
-        out += [(r["page"], None, None, r["url"], None, r["error"]) for r in pages.where("error IS NOT NULL").select("page", "url", "error").collect()]
-        return spark.createDataFrame([tuple(r) for r in out], "page long, row_idx int, title string, download_url string, path string, error string")
-    finally:
-        pages.unpersist()
+        known = last.join(saved, ["path", "download_url"], "left_semi").withColumn("error", F.lit(None).cast("string"))
+        asked = last.join(saved, ["path", "download_url"], "left_anti").withColumnRenamed("download_url", "url")
+        reports = kept.save(fetching.fetch(asked, get, **pace).withColumnRenamed("url", "download_url"), "reports")
+        come = reports.where("error IS NULL")
+        if get_sink is None:
+            named = come.withColumn("path", F.substring("path", len(folder.rstrip("/")) + 2, 1 << 30))
+            report_sink.save(spark, named, folder)
+        else:
+            L.save_reports(come, get_sink)
+        columns = ["page", "row_idx", "title", "download_url", "path", "error"]
+        bad = pages.where("error IS NOT NULL").select("page", F.lit(None).cast("int").alias("row_idx"), F.lit(None).cast("string").alias("title"), F.col("url").alias("download_url"), F.lit(None).cast("string").alias("path"), "error")
+        told = reports.select(*columns).unionByName(known.select(*columns)).unionByName(bad)
+        told = told.select(F.lit(run).alias("run"), F.current_timestamp().alias("at"), F.col("page").cast("long").alias("page"), *columns[1:])
+        told.write.mode("append").parquet(log)
+    return spark.read.schema(LOG).parquet(log).where(F.col("run") == run).drop("run", "at")
+
+
+def _saved_before(spark: SparkSession, log: str) -> DataFrame:
+    """(path, download_url) of what earlier runs have saved: for each path the URL that it was saved from last."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(log)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "path string, download_url string")
+    rows = spark.read.schema(LOG).parquet(log).where("error IS NULL AND path IS NOT NULL")
+    return rows.groupBy("path").agg(F.max_by("download_url", F.struct("at", "page", "row_idx")).alias("download_url"))

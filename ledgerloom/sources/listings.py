@@ -45,7 +45,7 @@ def file_sink() -> Callable[[str, bytes], None]:
 
 def listing_urls(spark: SparkSession, base: str, start: int, end: int) -> DataFrame:
     """(page, url) of pages start to end, both included; none if start is beyond end."""
-    return spark.range(start, max(start, end + 1)).select(F.col("id").alias("page"), F.concat(F.lit(f"{base}?&page="), F.col("id").cast("string")).alias("url"))
+    return spark.range(start, max(start, end + 1)).select(F.col("id").alias("page"), X.listing_url(base, F.col("id")).alias("url"))
 
 
 def fetch(urls: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
@@ -131,6 +131,14 @@ def single_text(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(text,)], "text string").where(~X.is_blank(F.col("text")))
 
 
+def asked_texts(spark: SparkSession, texts: DataFrame, condition: str, **fields) -> DataFrame:
+    """Rows of texts that meet an SQL condition whose :names are a form's fields, those with a blank text left out.
+
+    The fields are arguments of the query and never part of its text.
+    """
+    return spark.sql(f"SELECT * FROM {{texts}} WHERE {condition}", args=fields, texts=texts).where(~X.is_blank(F.col("text")))
+
+
 def prices(spark: SparkSession, path: str, ticker: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Prices (ticker, trade_date, close) of a Parquet table, through the price source; the bounds reach its scan."""
     price_source.register(spark)
