@@ -13,8 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, content_order, or_empty, rows_of, running_sums, with_bins
-from .tokens import as_binary, encoder, ends_after
+from .common import Scratch, arrow_schema, bound_batches, content_order, or_empty, rows_of, running_sums, with_bins
+from .tokens import as_binary, encoder, ends_after, id_type
 
 WINDOW = 2048
 #: Lengths are rounded up to multiples of BIN for the least squares; a combination has DEPTH lengths at most.
@@ -162,7 +162,7 @@ _TOKENS = "uid long, doc_id long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 
 
-def _tokenize(tokenizer: str, end_id: int):
+def _tokenize(tokenizer: str, end_id: int, dtype: str):
     schema = arrow_schema(_TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +170,7 @@ def _tokenize(tokenizer: str, end_id: int):
         for batch in batches:
             docs, at = batch.column("doc_id"), 0
             for ids, sizes in own.encode_all(batch.column("text")):
-                ids, sizes = ends_after(ids, sizes, end_id, "<u2")
+                ids, sizes = ends_after(ids, sizes, end_id, dtype)
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(made, made + n)), docs.slice(at, n), pa.array(sizes), as_binary(ids, sizes)], schema=schema)
                 made, at = made + n, at + n
@@ -178,7 +178,7 @@ def _tokenize(tokenizer: str, end_id: int):
     return run
 
 
-def _cut(plan: Plan, base: dict[int, int], first_mixed: int, window: int, with_ids: bool):
+def _cut(plan: Plan, base: dict[int, int], first_mixed: int, window: int, with_ids: bool, dtype: str):
     """base: remainder -> first sequence of the whole windows of documents with that remainder."""
     schema = arrow_schema(_PIECES)
     segments = {k: (np.array([s[0] for s in v]), v) for k, v in plan.segments.items()}
@@ -202,7 +202,7 @@ def _cut(plan: Plan, base: dict[int, int], first_mixed: int, window: int, with_i
         for docs, sizes, rests, ranks, wholes, raws in rows_of(batches, "doc_id", "n", "rest", "rank", "wholes", "ids", rows=256):
             out: list[tuple] = []
             for doc, n, rest, rank, whole, raw in zip(docs, sizes, rests, ranks, wholes, raws):
-                ids = np.frombuffer(raw, "<u2").astype("<u4")
+                ids = np.frombuffer(raw, dtype).astype("<u4")
                 pieces = [(window, base[rest] + whole + k, 0) for k in range(n // window)]
                 pieces += places(rest, rank) if rest else []
                 at = 0
@@ -222,11 +222,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     with with_ids the ids. A document is cut into whole windows and one remainder; remainders go by plan() over the
     histogram of their lengths, which has fewer entries than the window whatever the number of documents. Only windows
     that end short are padded. A null text is empty and packs its end id; repeated rows are packed each; an empty table
-    gives no rows; other columns are ignored. Ids are held in 16 bits, so the vocabulary has at most 65,536 entries.
+    gives no rows; other columns are ignored. A very long text is encoded whole and cut into its windows by one task. Ids
+    are held in 16 bits if all of the vocabulary's fit, else in 32.
     """
+    bound_batches(docs.sparkSession)
+    dtype = id_type(tokenizer, end_id)
     scratch = Scratch(docs.sparkSession, "packing")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text"))
-    tokens = scratch.save(rows.mapInArrow(_tokenize(tokenizer, end_id), _TOKENS), "tokens")
+    tokens = scratch.save(rows.mapInArrow(_tokenize(tokenizer, end_id, dtype), _TOKENS), "tokens")
     lines = tokens.select("uid", (F.col("n") % window).alias("rest"), F.floor(F.col("n") / window).cast("long").alias("_whole"), F.lit(1).alias("_one"))
     histogram = lines.groupBy("rest").agg(F.count("*").alias("rows"), F.sum("_whole").alias("wholes")).orderBy("rest").collect()
     base, sequences = {}, 0
@@ -237,5 +240,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     lines = with_bins(lines.withColumn("_order", content_order(F.col("uid"))), "_order")
     lines = running_sums(lines, ["rest"], ["_order", "uid"], {"rank": "_one", "wholes": "_whole"})
     joined = tokens.join(lines.select("uid", "rest", "rank", "wholes"), "uid").select("doc_id", "n", "rest", "rank", "wholes", "ids")
-    out = joined.mapInArrow(_cut(dealt, base, sequences, window, with_ids), _PIECES)
+    out = joined.mapInArrow(_cut(dealt, base, sequences, window, with_ids, dtype), _PIECES)
     return out if with_ids else out.drop("ids")

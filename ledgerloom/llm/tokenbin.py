@@ -14,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, or_empty, rows_of
-from .tokens import encoder, ends_after
+from .common import Scratch, arrow_schema, bound_batches, or_empty, rows_of
+from .tokens import encoder, ends_after, id_type
 
 #: Documents that a reader returns at a time.
 READ = 4096
@@ -112,15 +112,16 @@ def _writer(root: str, tokenizer: str, end_id: int, dtype: str):
     return write
 
 
-def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, scratch: Scratch, vocabulary: int = 1 << 16) -> DataFrame:
+def write_tokens(docs: DataFrame, root: str, tokenizer: str, end_id: int, scratch: Scratch) -> DataFrame:
     """Writes the ids of all texts, in ascending order of doc_id, under a fully qualified root, and returns the manifest (part, path, docs, tokens, base).
 
     Documents are dealt into ranges of doc_id, so that the parts' order is the documents'. A part has three flat
-    files: .bin with the ids (16-bit if the vocabulary fits, else 32-bit), .off with where each document starts and
+    files: .bin with the ids (16-bit if all of the vocabulary's fit, else 32-bit), .off with where each document starts and
     the last one ends, counted in the part, .doc with their doc_ids. base, the ids before the part, comes from the
     prefix sum over parts, of which there are as many as shuffle partitions at most.
     """
-    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    bound_batches(docs.sparkSession)
+    dtype = id_type(tokenizer, end_id)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), or_empty("text").alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), "text")
     parts = scratch.save(rows.mapInArrow(_writer(root, tokenizer, end_id, dtype), _MANIFEST), "manifest").orderBy("part").collect()
@@ -154,7 +155,8 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Writes the ids of all documents to files in the shared folder and reads them back from there.
 
     A null text is empty and has the end id alone; null ids come first and come back null; repeated rows count each
-    and stand side by side; an empty table gives no files and no rows; other columns are ignored.
+    and stand side by side; a very long text is encoded and written whole by one task; an empty table gives no files and
+    no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
     return read_tokens(write_tokens(docs, f"{scratch.root}/ids", tokenizer, end_id, scratch))

@@ -191,8 +191,18 @@ def _offsets(lists: pa.ListArray) -> np.ndarray:
     return at - at[0]
 
 
+def id_type(path: str, end_id: int) -> str:
+    """The type that holds all ids of a file, those of added tokens too, and the end id: 16 bits if they fit, else 32."""
+    from tokenizers import Tokenizer
+
+    largest = max([end_id, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def ends_after(ids: np.ndarray, sizes: np.ndarray, end_id: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
-    """ids with the end id after each text, and the sizes with it."""
+    """ids with the end id after each text, and the sizes with it; an id that the type doesn't hold is an error."""
+    if max(int(ids.max(initial=0)), end_id) > np.iinfo(dtype).max:
+        raise ValueError(f"id {max(int(ids.max(initial=0)), end_id)} doesn't fit {dtype}")
     sizes = sizes + 1
     ends = np.cumsum(sizes)
     out = np.empty(int(ends[-1]) if len(ends) else 0, dtype)

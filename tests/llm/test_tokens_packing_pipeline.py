@@ -201,3 +201,21 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_wide_vocabularies(spark, tmp_path):
+    """70,000 entries: ids beyond 16 bits come back whole, from files and from packs."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = str(tmp_path / "wide.json")
+    own = Tokenizer(models.WordLevel({f"w{k}": k for k in range(70_000)}, unk_token="w0"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(path)
+    assert tokens.id_type(path, 2) == "<u4" and tokens.id_type(WORD, 1) == "<u2" and tokens.id_type(WORD, 70_000) == "<u4"
+    with pytest.raises(ValueError, match="70000"):
+        tokens.ends_after(np.array([70_000], np.uint32), np.array([1]), 2, "<u2")
+    docs = spark.createDataFrame([(1, "w69999 w1 w65536"), (2, "w5")], "doc_id long, text string")
+    want = {1: [69_999, 1, 65_536, 2], 2: [5, 2]}
+    crc = {k: zlib.crc32(np.array(v, "<u4").tobytes()) for k, v in want.items()}
+    assert {r["doc_id"]: r["ids_crc32"] for r in tokenbin.round_trip(docs, path, 2).collect()} == crc
+    assert {r["doc_id"]: r["ids"] for r in packing.pack(docs, path, 2, with_ids=True).collect()} == want
