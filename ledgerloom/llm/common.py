@@ -184,9 +184,13 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 SALT_ROWS = 1000
 
 
-def beside_hot(rows: DataFrame, other: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """rows joined with other, which has one row for each key; keys with many rows are dealt out, other's row to each part."""
-    hot = scratch.save(rows.groupBy(key).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts")).where("_parts > 1"), "hot")
+def beside_hot(rows: DataFrame, other: DataFrame, key: str, scratch: Scratch, counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with other, which has one row for each key; keys with many rows are dealt out, other's row to each part.
+
+    counted: (key, n), how many rows a key has, where that is known already; else it is counted here.
+    """
+    counts = counted.select(key, "n") if counted is not None else rows.groupBy(key).agg(F.count("*").alias("n"))
+    hot = scratch.save(counts.where(F.col("n") > SALT_ROWS).select(key, F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("_parts")), "hot")
     if hot.isEmpty():
         return rows.join(other, key)
     salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, bound_batches, finish, ngram_hashes, or_empty, rows_of, word_hashes
+from .common import Scratch, arrow_schema, beside_hot, bound_batches, finish, ngram_hashes, or_empty, rows_of, word_hashes
 from .components import components
 
 #: Words of a shingle; links need intersection / union of at least PERCENT / 100.
@@ -207,25 +207,11 @@ def _screen(sketch, percent: int):
     return run
 
 
-#: Rows of a hot key that one task joins.
-SALT_ROWS = 1000
-
-
-def _beside(rows: DataFrame, other: DataFrame, key: str, scratch: Scratch) -> DataFrame:
-    """rows joined with other, which has one row for each key; keys with many rows are dealt out, other's row to each part."""
-    hot = scratch.save(rows.groupBy(key).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("_parts")).where("_parts > 1"), "hot")
-    if hot.isEmpty():
-        return rows.join(other, key)
-    salted = rows.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    parts = other.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return salted.join(parts, [key, "_salt"]).drop("_salt")
-
-
 def _screened(pairs: DataFrame, heads: DataFrame, sketch, percent: int, scratch: Scratch) -> DataFrame:
     """The saved pairs that their sizes and rarest shingles don't rule out."""
     heads = scratch.save(_mostly_in(heads.select("cid", "size", "prefix"), "cid", _either(pairs)), "few_heads")
     side = lambda c: heads.select(F.col("cid").alias(c), F.col("size").alias(f"n{c}"), F.col("prefix").alias(f"p{c}"))
-    both = _beside(_beside(pairs, side("b"), "b", scratch), side("a"), "a", scratch).where(_alike(F.col("na"), F.col("nb"), percent))
+    both = beside_hot(beside_hot(pairs, side("b"), "b", scratch), side("a"), "a", scratch).where(_alike(F.col("na"), F.col("nb"), percent))
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_screen(sketch, percent), _PAIRS)
 
 
@@ -319,13 +305,13 @@ def _met_in_tiles(sets: DataFrame, heads: DataFrame, texts: DataFrame, shingle:
     block is too large for a task, and no pair is written but links.
     """
     mass = lambda of, out: F.greatest(F.ceil(F.count_if(of) / TILE), F.ceil(F.sum(F.when(F.col(of), F.col("size"))) / TILE_SHINGLES)).cast("int").alias(out)
-    parts = sets.groupBy("block").agg(mass("probe", "_i"), mass("listed", "_j")).where("_i > 0 AND _j > 0")
+    parts = scratch.save(sets.groupBy("block").agg(mass("probe", "_i"), mass("listed", "_j"), F.count("*").alias("n")).where("_i > 0 AND _j > 0"), "parts")
     part, every = (lambda n: F.array(F.pmod(F.xxhash64("cid"), F.col(n)).cast("int"))), (lambda n: F.sequence(F.lit(0), F.col(n) - 1))
     places = lambda i, j, side: F.flatten(F.transform(i, lambda x: F.transform(j, lambda y: F.struct(x.alias("i"), y.alias("j"), F.lit(side).alias("side")))))
     both = F.col("probe") & F.col("listed") & (F.col("_i") == 1) & (F.col("_j") == 1)
     none = F.array().cast("array<struct<i:int,j:int,side:int>>")
     apart = F.concat(F.when(F.col("probe"), places(part("_i"), every("_j"), _PROBE)).otherwise(none), F.when(F.col("listed"), places(every("_i"), part("_j"), _LISTED)).otherwise(none))
-    rows = sets.join(parts, "block").withColumn("at", F.explode(F.when(both, places(part("_i"), part("_j"), _PROBE | _LISTED)).otherwise(apart)))
+    rows = beside_hot(sets, parts.drop("n"), "block", scratch, parts).withColumn("at", F.explode(F.when(both, places(part("_i"), part("_j"), _PROBE | _LISTED)).otherwise(apart)))
     place = F.struct("block", "at.i", "at.j", "at.side", "root")
     owners = heads.select("cid", F.col("rep").alias("doc_id")).join(rows.groupBy("cid").agg(F.collect_list(place).alias("places")), "cid")
     owners = scratch.save(owners, "owners")
@@ -341,6 +327,21 @@ def _as_blocks(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return own("a", True).unionByName(own("b", False)).join(heads.select("cid", "size"), "cid").withColumn("root", F.col("cid"))
 
 
+def _rest(placed: DataFrame, heads: DataFrame, texts: DataFrame, sketch, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links of the sets that lie outside their leader's component, to sets under their keys that lie in another one."""
+    many = placed.where("NOT few").select("block", "cid", "root", "size", (F.col("root") != F.col("main_root")).alias("probe"), F.lit(True).alias("listed"))
+    packed = _met_in_tiles(many, heads, texts, shingle, percent, scratch)
+    packed = scratch.save(packed.distinct(), "packed")
+    few = placed.where("few")
+    apart = few.where("root <> main_root").select("block", *[F.col(c).alias(f"x_{c}") for c in ("cid", "size", "at", "root")])
+    cross = apart.join(few, "block").where("x_root <> root")
+    cross = cross.where(_open("x_size", "x_at", "size", "at", percent))
+    cross = scratch.save(cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct(), "cross")
+    cross = scratch.save(_screened(cross, heads, sketch, percent, scratch), "left")
+    more = _met_in_tiles(_as_blocks(cross, heads), heads, texts, shingle, percent, scratch)
+    return packed.unionByName(scratch.save(more.distinct(), "more"))
+
+
 def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id) for every document; text_key is a hash of its text.
 
@@ -370,11 +371,13 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     heads = scratch.save(heads, "heads")
     entries = _entries(heads, boundary(heads, percent), percent)
 
-    keys = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = scratch.save(entries.join(keys, "key"), "met")
-    leaders = met.groupBy("key").agg(F.max_by(F.struct("cid", "size", "at"), "central").alias("m"), F.count("*").alias("n"))
+    # most keys are one set's alone: those go first, by a count; what stays has its number of rows beside it, for the joins
+    keys = scratch.save(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    met = scratch.save(beside_hot(entries, keys, "key", scratch, keys), "met")
+    leaders = met.groupBy("key").agg(F.max_by(F.struct("cid", "size", "at"), "central").alias("m"), F.any_value("n").alias("n"))
     leaders = scratch.save(leaders.select("key", F.col("m.cid").alias("main"), F.col("m.size").alias("main_size"), F.col("m.at").alias("main_at"), "n"), "leaders")
-    led = scratch.save(met.drop("central").join(leaders, "key"), "led")
+    led = scratch.save(beside_hot(met.drop("central", "n"), leaders, "key", scratch, leaders), "led")
+    scratch.drop(met)
     members = scratch.save(led.groupBy("main", "cid").agg(F.any_value("size").alias("size"), F.min("at").alias("at")), "members")
     costs = members.groupBy("main").agg(F.count("*").alias("main_n")).join(leaders.groupBy("main").agg(F.sum(F.col("n") * F.col("n")).alias("keys_cost")), "main")
     costs = scratch.save(costs.withColumn("as_one", (F.col("main_n") <= FEW) | (F.col("main_n") * F.col("main_n") <= F.col("keys_cost"))), "costs")
@@ -386,25 +389,15 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     roots = components(links, scratch)
     own = lambda df, c, root: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"_{root}")), c, "left").withColumn(root, F.coalesce(f"_{root}", c)).drop(f"_{root}")
     # a block is a leader's keys or one key; at is the least place of the set's keys in it
-    whole_blocks = members.join(costs.where("as_one"), "main").select(F.xxhash64(F.lit(1), "main").alias("block"), (F.col("main_n") <= FEW).alias("few"), "main", "cid", "size", "at")
+    one = costs.where("as_one")
+    whole_blocks = beside_hot(members, one.drop("as_one", "keys_cost"), "main", scratch, one.withColumnRenamed("main_n", "n")).select(F.xxhash64(F.lit(1), "main").alias("block"), (F.col("main_n") <= FEW).alias("few"), "main", "cid", "size", "at")
     apart = scratch.save(costs.where("NOT as_one").select("main"), "apart")
     key_blocks = _mostly_in(led, "main", apart).join(apart, "main").select(F.xxhash64(F.lit(2), "key").alias("block"), (F.col("n") <= FEW).alias("few"), "main", "cid", "size", "at")
     blocks = scratch.save(own(own(whole_blocks.unionByName(key_blocks), "cid", "root"), "main", "main_root"), "blocks")
-    open_ = blocks.groupBy("block").agg(F.count_if(F.col("root") != F.col("main_root")).alias("out")).where("out > 0").select("block")
-    placed = scratch.save(blocks.join(open_, "block").select("block", "few", "cid", "root", "main_root", "size", "at"), "placed")
-
-    many = placed.where("NOT few").select("block", "cid", "root", "size", (F.col("root") != F.col("main_root")).alias("probe"), F.lit(True).alias("listed"))
-    packed = _met_in_tiles(many, heads, texts, shingle, percent, scratch)
-    packed = scratch.save(packed.distinct(), "packed")
-    few = placed.where("few")
-    apart = few.where("root <> main_root").select("block", *[F.col(c).alias(f"x_{c}") for c in ("cid", "size", "at", "root")])
-    cross = apart.join(few, "block").where("x_root <> root")
-    cross = cross.where(_open("x_size", "x_at", "size", "at", percent))
-    cross = scratch.save(cross.select(F.least("x_cid", "cid").alias("a"), F.greatest("x_cid", "cid").alias("b")).distinct(), "cross")
-    cross = scratch.save(_screened(cross, heads, sketch, percent, scratch), "left")
-    more = _met_in_tiles(_as_blocks(cross, heads), heads, texts, shingle, percent, scratch)
-    more = scratch.save(more.distinct(), "more")
-    roots = components(links.unionByName(more).unionByName(packed), scratch)
+    open_ = scratch.save(blocks.groupBy("block").agg(F.count_if(F.col("root") != F.col("main_root")).alias("out"), F.count("*").alias("n")).where("out > 0").select("block", "n"), "open")
+    if not open_.isEmpty():  # else no set lies outside its leader's component
+        placed = beside_hot(blocks, open_.select("block"), "block", scratch, open_).select("block", "few", "cid", "root", "main_root", "size", "at")
+        roots = components(links.unionByName(_rest(scratch.save(placed, "placed"), heads, texts, sketch, shingle, percent, scratch)), scratch)
 
     # a component's least document: equal sets first, then sets that link
     groups = heads.select("cid", "rep").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
