@@ -61,16 +61,17 @@ def result_panel(rows: DataFrame) -> DataFrame:
     return rows.withColumn("panel", F.when(calm, "success").otherwise("error")).withColumn("shown", F.format_string("%.1f", "confidence")).withColumn("progress", N.progress(F.col("confidence")))
 
 
-def balanced(rows: DataFrame, label: str, key: str, ranges: int = 64) -> DataFrame:
-    """As many rows of each class as the rarest has, the first by a numeric key.
+def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
+    """As many rows of each class as the rarest has, the first by a numeric key; one lazy plan.
 
     Ranges of the key are filled class by class from their counts; only in the range where a class runs full are its
     rows ranked, so no task ranks a whole class.
     """
-    least = rows.groupBy(label).count().agg(F.min("count")).first()[0] or 0
-    rows = _in_ranges(rows, key, ranges)
+    least = F.coalesce(rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).scalar(), F.lit(0))
+    rows = _in_ranges(rows, key)
     before = F.coalesce(F.sum("count").over(W.partitionBy(label).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    room = rows.groupBy(label, "_range").count().withColumn("_room", least - before).where("_room > 0")
+    room = rows.groupBy(label, "_range").count().withColumn("_before", before).withColumn("_least", least)
+    room = room.withColumn("_room", F.col("_least") - F.col("_before")).where("_room > 0")
     room = room.select(F.col(label).alias("_class"), F.col("_range").alias("_own"), "_room", (F.col("count") <= F.col("_room")).alias("_all"))
     met = rows.join(room, rows[label].eqNullSafe(F.col("_class")) & (F.col("_range") == F.col("_own")))
     ranked = met.where("NOT _all").withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_own").orderBy(key))).where("_rank <= _room")
@@ -78,28 +79,44 @@ def balanced(rows: DataFrame, label: str, key: str, ranges: int = 64) -> DataFra
 
 
 def padded_tokens(docs: DataFrame, text: str, most: int = 128) -> DataFrame:
-    """Adds tokens: at most so many words, padded to the longest row."""
+    """Adds tokens: at most so many words, padded to the longest row; one lazy plan."""
     docs = docs.withColumn("_t", X.tokens(F.col(text), most))
-    longest = docs.agg(F.max(F.size("_t"))).first()[0] or 0
-    return docs.withColumn("tokens", X.padded(F.col("_t"), F.lit(longest))).drop("_t")
+    longest = docs.agg(F.coalesce(F.max(F.size("_t")), F.lit(0)).alias("n"))
+    return docs.withColumn("_n", longest.scalar()).withColumn("tokens", X.padded(F.col("_t"), F.col("_n"))).drop("_t", "_n")
 
 
-def _in_ranges(rows: DataFrame, key: str, ranges: int) -> DataFrame:
-    """Adds _range, between approximate quantiles of a numeric key."""
-    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
-    return rows.withColumn("_range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c < F.col(key))) if cuts else F.lit(0))
+#: Ranges of a key, in so many groups of as many each: places in them are found by looking at 2 * GROUPS cuts a row.
+GROUPS = 64
 
 
-def ordinals(rows: DataFrame, key: str, out: str = "ordinal", ranges: int = 64) -> DataFrame:
-    """Adds each row's place from 1 in the order of a numeric key.
+def _in_ranges(rows: DataFrame, key: str) -> DataFrame:
+    """Adds _range, 0 to GROUPS * GROUPS: which of the approximate quantiles of a numeric key a row lies between.
+
+    The quantiles are part of the plan, and their number doesn't bound the rows: 1e11 of them are 2.4e7 in a range.
+    """
+    n = GROUPS * GROUPS
+    told = rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 8 * n).alias("q"))
+    every = F.array_distinct(F.coalesce("q", F.array().cast(f"array<{dict(rows.dtypes)[key]}>")))
+    told = told.select(F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda k: F.slice(every, k * GROUPS + 1, GROUPS)).alias("c"))
+    rows = rows.withColumn("_cuts", told.scalar())
+    under = lambda cuts, at: F.size(F.filter(cuts, at))
+    group = under(F.filter("_cuts", lambda g: F.size(g) > 0), lambda g: F.element_at(g, -1) < F.col(key))
+    rows = rows.withColumn("_group", F.greatest(group, F.lit(0)))
+    own = F.coalesce(F.get("_cuts", F.col("_group")), F.array().cast(f"array<{dict(rows.dtypes)[key]}>"))
+    return rows.withColumn("_range", F.col("_group") * GROUPS + F.greatest(under(own, lambda c: c < F.col(key)), F.lit(0))).drop("_cuts", "_group")
+
+
+def ordinals(rows: DataFrame, key: str, out: str = "ordinal") -> DataFrame:
+    """Adds each row's place from 1 in the order of a numeric key; one lazy plan.
 
     Rows are ranked inside ranges of the key, between approximate quantiles, and a range starts behind the counts of
     those before it; no task ranks all rows.
     """
-    rows = _in_ranges(rows, key, ranges)
-    before, total = {}, 0
-    for r in rows.groupBy("_range").count().orderBy("_range").collect():
-        before[r["_range"]], total = total, total + r["count"]
-    starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("_range").orderBy(key)) + F.element_at(starts, F.col("_range"))
-    return rows.withColumn(out, rank.cast("bigint")).drop("_range")
+    rows = _in_ranges(rows, key)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(GROUPS * GROUPS + 1).select(F.col("id").cast("int").alias("_range")).join(counts, "_range", "left")
+    sorted_ = every.agg(F.sort_array(F.collect_list(F.struct("_range", F.coalesce("n", F.lit(0)).alias("n")))).alias("c"))
+    none = F.array(F.lit(0).cast("long"))
+    starts = sorted_.select(F.aggregate("c", none, lambda sums, r: F.concat(sums, F.array(F.element_at(sums, -1) + r["n"]))).alias("s"))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(key))
+    return rows.withColumn("_rank", rank).withColumn("_starts", starts.scalar()).withColumn(out, (F.col("_rank") + F.get("_starts", F.col("_range"))).cast("bigint")).drop("_range", "_rank", "_starts")

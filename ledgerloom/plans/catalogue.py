@@ -234,6 +234,38 @@ _reports_step("clean_six_digit", [X.SIX_DIGITS])
 _reports_step("clean_noise", X.FIGURES)
 
 
+#: For each figure's step: a phrase that it takes out, one that it just misses, one that a line feed parts.
+VARIED = [
+    ("목표주가 12,500원", "목표주가 원", "목표주가\n900원"), ("현재주가(7/1) 98원", "현재주가 98", "현재주가 \n98원"), ("상승여력 약 12.5%", "상승여력 12", "상승\n여력 3%"),
+    ("KOSPI 2,650.10pT", "Kospi 2,650pt", "KOSPI\n2,650pt"), ("시가총액 3조 2천만원", "시가총액 3조원", "시가총액\n2백원"), ("발행주식수 1,200만주", "발행주식 12주", "발행주식수\n3주"),
+    ("액면가 500원", "액면 500원", "액면가\n500원"), ("자본금 4억원", "자본금 4억", "자본금\n4억원"), ("60일 평균거래량 3주 끝", "60일평균거래 3", "60일\n평균거래 3"),
+    ("매수 (유지)", "매수 (hold)", "매수\n(상향)"), ("Stock Data", "Stock  Data", "Stock\nData"),
+]
+
+
+def _varied_sql(rules) -> str:
+    """Texts with one phrase each out of VARIED, and what the phrase's own step makes of them."""
+    text = lambda p: " || chr(10) || ".join("'" + part + "'" for part in p.split("\n"))
+    phrase = " ".join(f"WHEN {3 * k + j} THEN {text(p)}" for k, kinds in enumerate(VARIED) for j, p in enumerate(kinds))
+    clean = " ".join(f"WHEN {k} THEN {STEPS[step]('t')}" for k, (step, _, _) in enumerate(rules))
+    return f"""WITH v AS (SELECT doc_id, (doc_id % {3 * len(VARIED)}) // 3 AS k, substr(coalesce(text, ''), 1, 200) || ' ' || CASE doc_id % {3 * len(VARIED)} {phrase} END || ' 뒤 x' || chr(10) || substr(coalesce(text, ''), 201, 100) AS t FROM documents)
+        SELECT doc_id, CASE k {clean} END AS clean FROM v"""
+
+
+@query(_varied_sql(X.FIGURES))
+def clean_each_figure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each figure's step alone, on the documents' own text with a phrase that it takes out, just misses, or finds parted."""
+    kind = (F.col("doc_id") % (3 * len(VARIED))).cast("int")
+    phrase = F.element_at(F.array(*[F.lit(p) for kinds in VARIED for p in kinds]), kind + 1)
+    text = F.coalesce("text", F.lit(""))
+    t = F.concat(F.substring(text, 1, 200), F.lit(" "), phrase, F.lit(" 뒤 x\n"), F.substring(text, 201, 100))
+    rows = S.read(spark, sf_dir, "documents").select("doc_id", F.floor(kind / 3).cast("int").alias("k"), t.alias("t"))
+    clean = F.when(F.col("k") == 0, X.apply_rules(F.col("t"), X.FIGURES[:1]))
+    for k in range(1, len(X.FIGURES)):
+        clean = clean.when(F.col("k") == k, X.apply_rules(F.col("t"), X.FIGURES[k : k + 1]))
+    return rows.select("doc_id", clean.alias("clean"))
+
+
 def _chain(name: str, make, rules) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         return S.report_texts(spark, sf_dir).select("report_id", make(F.col("raw_text")).alias("clean"))

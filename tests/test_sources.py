@@ -200,3 +200,18 @@ def test_balanced_classes(spark):
     got = balanced(spark.createDataFrame(rows, "id long, label int"), "label", "id").collect()
     want = [r for c in (0, 1, None) for r in sorted(r for r in rows if r[1] == c)[:142]]
     assert sorted(tuple(r) for r in got if r[1] is not None) == sorted(r for r in want if r[1] is not None) and len(got) == len(want)
+
+
+def test_ordinals(spark):
+    """Places in order: uneven keys, ties, nulls first, more rows than a range; no row and one."""
+    import random
+
+    from ledgerloom.operators.reports import ordinals
+
+    keys = [k * k for k in range(9000)] + [7] * 40 + [-3, None]
+    random.Random(1).shuffle(keys)
+    rows = ordinals(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i int"), "k").collect()
+    assert [r["k"] for r in sorted(rows, key=lambda r: r["ordinal"])] == [None, *sorted(k for k in keys if k is not None)]
+    assert sorted(r["ordinal"] for r in rows) == list(range(1, len(keys) + 1))
+    one = spark.createDataFrame([(5,)], "k long")
+    assert [r["ordinal"] for r in ordinals(one, "k").collect()] == [1] and ordinals(one.limit(0), "k").collect() == []

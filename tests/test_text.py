@@ -79,3 +79,16 @@ def test_no_python_in_plans(spark, sf_dir):
             continue
         plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan, name
+
+
+def test_each_figure_has_rows_of_each_kind(spark):
+    """Every step changes the phrase that it is for, and leaves what it misses and what a line feed parts, but where the step spans lines."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.functions import text as X
+    from ledgerloom.plans.catalogue import VARIED
+
+    assert len(VARIED) == len(X.FIGURES)
+    for (step, pattern, to), kinds in zip(X.FIGURES, VARIED):
+        hit, miss, parted = (r["c"] == "" for r in spark.createDataFrame([(p,) for p in kinds], "t string").select(F.regexp_replace("t", pattern, to).alias("c")).collect())
+        assert (hit, miss, parted) == (True, False, step == "CLN7j"), step
