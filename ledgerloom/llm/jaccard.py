@@ -359,7 +359,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
 
     A null or empty text has no shingles, links with nothing and is its own component. A row without an id links with
     nothing and has a null component. Repeated rows are linked; ids shared by different texts are one row each. An
-    empty table gives no rows; other columns are ignored.
+    empty table gives no rows; other columns are ignored. A very long text is one set, made and held whole by one task.
     """
     spark = docs.sparkSession
     bound_batches(spark)

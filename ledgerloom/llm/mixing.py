@@ -57,7 +57,8 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, schedules=
     target exceeds the source, a second time; the document at which it ends is taken in part. position and again are
     the training times (0 to 1) at which the first and the second reading start: running demand, inverted through the
     source's integrated schedule. A null text has size 0 and is never taken; a null source is a source; repeated rows
-    count each; an empty table gives no rows.
+    count each; an empty table gives no rows; very long texts are counted whole, by one expression in the JVM; other
+    columns are ignored but for those of keep, whose names must not be those of the result.
     """
     text = or_empty("text")
     rows = docs.select(

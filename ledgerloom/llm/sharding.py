@@ -76,8 +76,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: dict[int, float]
 
     The law is `key`: the id and the number of shards decide. Returns doc_id, size (UTF-8 bytes plus 1), text_crc32,
     law, shard, slot (gapless from 0 in each shard), grown_shard. A null text is empty; rows without an id share the
-    null key and so a shard; repeated rows share a shard and have slots of their own. Empty tables give no rows; other
-    columns are ignored.
+    null key and so a shard; repeated rows share a shard and have slots of their own. Of a very long text only its
+    size and checksum go on. Empty tables give no rows; other columns are ignored.
     """
     text = or_empty("text")
     rows = docs.select(
