@@ -196,6 +196,27 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == len(rows)
 
 
+def test_pipeline_of_a_very_long_text(spark, tmp_path):
+    """A document of 100,000 words goes through all stages beside the others, whole, and so do nulls and repeated rows."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    own = [r["text"] for r in docs.where("lang = 'en' AND text IS NOT NULL").select("text").collect()]
+    long = "\n".join(f"{k} {t}" for k in range(1 + 100_000 // len(" ".join(own).split())) for t in own)
+    assert len(long.split()) >= 100_000
+    more = [(900_001, long, "en", "src0", len(long)), (900_002, None, None, None, None), (900_003, None, "en", "src1", None)]
+    (tmp_path / "in").mkdir()
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(str(tmp_path / "in" / "labels.parquet"))
+    made = spark.read.parquet(str(tmp_path / "in" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        made = stage(spark, made, str(tmp_path / "in"))
+        assert made.where("doc_id = 900001 AND text IS NOT NULL").count() >= 1
+    whole = made.where("doc_id = 900001").orderBy(F.length("text").desc()).first()["text"]
+    rows = corpus_pipeline.packed(spark, made.where("doc_id = 900001").orderBy(F.length("text").desc()).limit(1), str(tmp_path / "in")).collect()
+    assert sum(r["length"] for r in rows) == len(plain(WORD)(whole)) + 1 and len(rows) >= 40
+    assert corpus_pipeline.run(spark, str(tmp_path / "in")).count() > 0
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     for name in ("documents", "labels"):

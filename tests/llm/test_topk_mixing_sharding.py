@@ -97,6 +97,16 @@ def test_mix_meets_targets(spark):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_mix_of_very_long_texts_and_other_columns(spark):
+    """A text of 300,000 words is counted and taken whole; columns of any names, nulls and repeated rows change nothing."""
+    rows = [(1, "word " * 300_000, "a"), (2, "two words", "a"), (3, None, "b"), (4, "x", None), (4, "x", None), (5, "y z", "b")]
+    docs = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, source string, size string, target double")
+    got = sorted(map(str, mixing.mixed(docs).collect()))
+    assert got == sorted(map(str, mixing.mixed(docs.select("doc_id", "text", "source")).collect()))
+    by = {r["doc_id"]: r for r in mixing.mixed(docs).collect()}
+    assert by[1]["size"] == 300_000 and by[1]["source_size"] == 300_002 and by[3]["taken"] == 0 and 0 < by[1]["taken"] <= 600_000
+
+
 def test_mix_follows_schedules(spark):
     rows = mixing.mixed(documents(spark)).where("position IS NOT NULL").collect()
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
