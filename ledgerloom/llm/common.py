@@ -56,9 +56,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Written tables that cut lineage: they live in the shared folder, so a lost executor costs a reread only."""
 
+    #: The folders that operators of this process have used, for release().
+    roots: list[str] = []
+
     def __init__(self, spark: SparkSession, owner: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/ledgerloom/{owner}-{uuid.uuid4().hex}"
         self.made, self.saved = 0, []
+        Scratch.roots.append(self.root)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -88,6 +92,18 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables and files that operators of this process have left in the shared folder; returns how many folders.
+
+    Results are lazy and read those tables: write or collect what is wanted first. Other processes' tables stay.
+    """
+    n, scratch = len(Scratch.roots), Scratch.__new__(Scratch)
+    scratch.spark = spark
+    while Scratch.roots:
+        scratch._delete(Scratch.roots.pop())
+    return n
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
     digest = xxhash.xxh3_64_intdigest

@@ -182,3 +182,18 @@ def test_shards_against_plain_descent(spark):
         now, grown = sharding.layout(16, 16, weights), sharding.layout(17, 16, weights)
         assert [(r["shard"], r["grown_shard"]) for r in rows] == [(plain_descent(r["doc_id"], now), plain_descent(r["doc_id"], grown)) for r in rows]
         assert len(rows) == len(ids) and {r["size"] for r in rows if r["doc_id"] == 7} == {30_001}
+
+
+def test_release_leaves_nothing_behind(spark):
+    """Tables of operators stay for their results, and go when the caller is done with these."""
+    from ledgerloom.llm import common, sharding
+
+    docs = spark.createDataFrame([(k, f"text {k}", "a") for k in range(20)], "doc_id long, text string, source string")
+    results = [mixing.mixed(docs), sharding.shard_documents(docs, 4)]
+    assert all(r.count() == 20 for r in results)
+    roots = list(common.Scratch.roots)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda r: path(r).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path(r))
+    assert len(roots) >= 2 and there(roots[-1])
+    assert common.release(spark) == len(roots) and not any(map(there, roots)) and common.release(spark) == 0
+    assert mixing.mixed(docs).count() == 20
