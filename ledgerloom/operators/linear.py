@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +69,10 @@ def _array(weights: DataFrame) -> DataFrame:
 
 def _logits(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """rows with _z, the logit in whole units. weights: one row of BUCKETS + 1 numbers, which goes to every task."""
-    rows = rows.withColumn("_w", weights.scalar())
     unit = lambda w, x: whole(w * x * float(LOGIT))
-    bias = unit(F.element_at("_w", 1), F.lit(1.0))
-    return rows.withColumn("_z", F.aggregate("_b", bias, lambda total, b: total + unit(F.element_at("_w", b + 2), F.col("_x")))).drop("_w")
+    add = lambda w: lambda total, b: total + unit(F.element_at(w, b + 2), F.col("_x"))
+    # named once, the array becomes an argument of the one expression that reads it: no row holds a copy of it
+    return rows.withColumn("_w", weights.scalar()).withColumn("_z", X.let(F.col("_w"), lambda w: F.aggregate("_b", unit(F.element_at(w, 1), F.lit(1.0)), add(w)))).drop("_w")
 
 
 def probability(z: Column) -> Column:
@@ -96,7 +97,7 @@ def train(rows: DataFrame, key: str = "id", text: str = "text", label: str = "la
         for _ in range(epochs):
             loss = seen = 0
             for batch in range(batches):
-                sums = _step(made.where(F.col("_batch") == batch), spark.createDataFrame([(weights,)], "w array<double>"))
+                sums = _step(made.where(F.col("_batch") == batch), spark.createDataFrame(pa.table({"w": pa.array([weights], pa.list_(pa.float64()))})))
                 n = sums.pop(ROWS, 0)
                 if not n:
                     continue
