@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import html as H
 from ledgerloom.functions import text as X
-from ledgerloom.sources import price_source
 
 
 # Fixed value: how requests name their client.
@@ -140,9 +139,12 @@ def asked_texts(spark: SparkSession, texts: DataFrame, condition: str, **fields)
 
 
 def prices(spark: SparkSession, path: str, ticker: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Prices (ticker, trade_date, close) of a Parquet table, through the price source; the bounds reach its scan."""
-    price_source.register(spark)
-    df = spark.read.format("prices").option("path", path).load()
+    """Prices (ticker, trade_date, close) of a Parquet table; the bounds reach its scan. Other sources: see price_source."""
+    return within(spark.read.parquet(path).select("ticker", "trade_date", "close"), ticker, start, end)
+
+
+def within(df: DataFrame, ticker: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Prices of a ticker, from a date on and up to one, both included."""
     if ticker is not None:
         df = df.where(F.col("ticker") == ticker)
     if start is not None:

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
+from ledgerloom.sources.listings import within
+
 SCHEMA = "ticker string, trade_date date, close double"
 #: Rows of a Parquet table that one range holds, about, and tickers that one task asks a connector for.
 RANGE_ROWS, RANGE_TICKERS = 2_000_000, 50
@@ -29,6 +31,12 @@ def register(spark: SparkSession) -> None:
         spark.conf.set(_PUSHDOWN, "true")
 
 
+def prices(spark: SparkSession, path: str, ticker: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """As listings.prices(), through the source."""
+    register(spark)
+    return within(spark.read.format("prices").option("path", path).load(), ticker, start, end)
+
+
 @dataclass
 class Bounds:
     """What a query asks for: all unset means all. Dates are both included; tickers: the only ones."""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, StringStartsWith
 
 from ledgerloom.sources import fixtures as S
-from ledgerloom.sources import listings as L
 from ledgerloom.sources import price_source as P
 from ledgerloom.sources import report_sink as RS
 
@@ -36,7 +35,7 @@ def path(spark):
 
 def test_filters_reach_the_scan(spark, path, sf_dir):
     every = [tuple(r) for r in S.prices(spark, sf_dir).collect()]
-    df = L.prices(spark, path).where((F.col("ticker").isin("000003", "000007", "x")) & (F.col("trade_date") > "1995-03-01") & (F.col("trade_date") < "1996-01-01") & (F.col("close") > 1000))
+    df = P.prices(spark, path).where((F.col("ticker").isin("000003", "000007", "x")) & (F.col("trade_date") > "1995-03-01") & (F.col("trade_date") < "1996-01-01") & (F.col("close") > 1000))
     got = sorted(map(tuple, df.collect()))
     assert got == sorted(r for r in every if r[0] in ("000003", "000007") and dt.date(1995, 3, 1) < r[1] < dt.date(1996, 1, 1) and r[2] > 1000) != []
     told = plan(df)
@@ -45,6 +44,19 @@ def test_filters_reach_the_scan(spark, path, sf_dir):
     assert len(left) == 1 and "close" in left[0] and "ticker" not in left[0] and "trade_date" not in left[0]
 
 
+def test_query_is_its_sql(spark, sf_dir):
+    import duckdb
+
+    from ledgerloom.plans import sourced
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf_dir}/lineitem.parquet'")
+    got = sourced.price_source_range(spark, sf_dir)
+    assert "BatchScan prices" in plan(got) and "GreaterThanOrEqual(trade_date,1993-01-01)" in plan(got)
+    want = con.sql(sourced.ORACLE["price_source_range"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+
+
 def test_partitions_are_ranges_of_tickers(spark, sf_dir, tmp_path):
     path = str(tmp_path / "prices")
     S.prices(spark, sf_dir).repartitionByRange(5, "ticker").sortWithinPartitions("ticker").write.parquet(path)
@@ -81,7 +93,7 @@ def test_bounds():
 
 def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], P.SCHEMA).write.parquet(str(tmp_path / "p"))
-    assert L.prices(spark, str(tmp_path / "p"), "000001").collect() == []
+    assert P.prices(spark, str(tmp_path / "p"), "000001").collect() == []
 
 
 def test_the_table_is_made_once(spark, path, sf_dir):
