@@ -2,50 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ledgerloom.functions.numbers import HORIZON, TOLERANCE
 
 
-def one_price_a_day(prices: DataFrame) -> DataFrame:
-    """(ticker, trade_date, close) with one row for each pair: the least close."""
-    return prices.groupBy("ticker", "trade_date").agg(F.min("close").alias("close"))
+#: Days in a block of prices. Long blocks hold fewer prices twice, short ones spread a ticker's rows over more tasks.
+BLOCK = 64
 
 
-def calendar(prices: DataFrame, reach: int) -> DataFrame:
-    """(ticker, day, trade_date, close): for each day the first price on it or within reach days after it.
+def _block(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BLOCK)
 
-    Each price covers the days since the price before it. A lookup is then an equality on (ticker, day), so a ticker
-    with a large part of all reports is spread over its days, and no row meets more than one price.
+
+def price_blocks(prices: DataFrame, reach: int) -> DataFrame:
+    """(_ticker, _block, _prices): for each block of days the prices (trade_date, close) of its days and of reach days after it, one a date, the least close.
+
+    A price is shuffled once for each block that may need it, not for each day. The number of tasks is fixed: small as
+    the shuffled rows are, what they join need not be, so they are not to be merged by their size.
     """
-    before = F.lag("trade_date").over(W.partitionBy("ticker").orderBy("trade_date"))
-    start = F.greatest(F.date_add("trade_date", -reach), F.date_add(before, 1))
-    days = one_price_a_day(prices).withColumn("_start", start)
-    return days.select("ticker", F.explode(F.sequence("_start", "trade_date")).alias("day"), "trade_date", "close")
+    own = F.sequence(_block(F.date_add("trade_date", -reach)), _block(F.col("trade_date")))
+    rows = prices.select(F.col("ticker").alias("_ticker"), F.explode(own).alias("_block"), "trade_date", "close")
+    rows = rows.repartition(int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_ticker", "_block")
+    days = rows.groupBy("_ticker", "_block", "trade_date").agg(F.min("close").alias("close"))
+    return days.groupBy("_ticker", "_block").agg(F.collect_list(F.struct("trade_date", "close")).alias("_prices"))
+
+
+def _with_blocks(rows: DataFrame, prices: DataFrame, day: str, ticker: str, reach: int) -> DataFrame:
+    """rows with the _prices of their block, by one equality join; rows without a ticker or day, which find none, are spread over tasks."""
+    nowhere = rows[ticker].isNull() | rows[day].isNull()
+    at = F.when(nowhere, F.xxhash64(*rows.columns)).otherwise(_block(rows[day]))
+    right = price_blocks(prices, reach).withColumnRenamed("_block", "_own")
+    rows = rows.withColumn("_block", at)
+    return rows.join(right, (rows[ticker] == F.col("_ticker")) & (rows["_block"] == F.col("_own")), "left").drop("_ticker", "_block", "_own")
+
+
+def _first_price(since: Column, until: Column) -> Column:
+    """The first of _prices from one day to another, both included; else null."""
+    return F.array_min(F.filter("_prices", lambda p: (p["trade_date"] >= since) & (p["trade_date"] <= until)))
 
 
 def forward_asof(rows: DataFrame, prices: DataFrame, day: str, out: str, tolerance: int, ticker: str = "ticker") -> DataFrame:
     """Adds {out}_date and {out}_close: the first price from day on, at most tolerance days later; else null."""
-    right = calendar(prices, tolerance).select(F.col("ticker").alias("_ticker"), F.col("day").alias("_day"), F.col("trade_date").alias(f"{out}_date"), F.col("close").alias(f"{out}_close"))
-    return rows.join(right, (rows[ticker] == F.col("_ticker")) & (rows[day] == F.col("_day")), "left").drop("_ticker", "_day")
+    found = _with_blocks(rows, prices, day, ticker, tolerance).withColumn("_p", _first_price(F.col(day), F.date_add(day, tolerance)))
+    return found.withColumns({f"{out}_date": F.col("_p.trade_date"), f"{out}_close": F.col("_p.close")}).drop("_p", "_prices")
 
 
-def priced_days(prices: DataFrame, horizon: int = HORIZON, tolerance: int = TOLERANCE) -> DataFrame:
-    """(ticker, day, base_date, base_close, future_date, future_close): both lookups of a report of that day.
+def report_prices(reports: DataFrame, prices: DataFrame, horizon: int = HORIZON, tolerance: int = TOLERANCE) -> DataFrame:
+    """Reports (ticker, report_date, ...) with the price at the report and the one horizon days later, by one join.
 
     The base is the first price from the day on, the future one the first from horizon days later on; both lie at most
-    horizon + tolerance days after the day, as one fetch of prices would. A later day's own row has its first price, so
-    the future one is horizon days on in the same calendar, in the one shuffle by ticker that it takes anyway.
+    horizon + tolerance days after the day, as one fetch of prices would.
     """
-    days = calendar(prices, horizon + tolerance)
-    later = F.first(F.struct("trade_date", "close")).over(W.partitionBy("ticker").orderBy(F.unix_date("day")).rangeBetween(horizon, horizon))
-    days = days.withColumn("_later", later).withColumn("_later", F.when(F.col("_later.trade_date") <= F.date_add("day", horizon + tolerance), F.col("_later")))
-    return days.select("ticker", "day", F.col("trade_date").alias("base_date"), F.col("close").alias("base_close"), F.col("_later.trade_date").alias("future_date"), F.col("_later.close").alias("future_close"))
-
-
-def report_prices(reports: DataFrame, prices: DataFrame, horizon: int = HORIZON, tolerance: int = TOLERANCE) -> DataFrame:
-    """Reports (ticker, report_date, ...) with the price at the report and the one horizon days later, by one join."""
-    days = priced_days(prices, horizon, tolerance).withColumnsRenamed({"ticker": "_ticker", "day": "_day"})
-    return reports.join(days, (reports["ticker"] == F.col("_ticker")) & (reports["report_date"] == F.col("_day")), "left").drop("_ticker", "_day")
+    day, end = F.col("report_date"), F.date_add("report_date", horizon + tolerance)
+    found = _with_blocks(reports, prices, "report_date", "ticker", horizon + tolerance)
+    found = found.withColumns({"_b": _first_price(day, end), "_f": _first_price(F.date_add(day, horizon), end)}).drop("_prices")
+    told = {"base_date": "_b.trade_date", "base_close": "_b.close", "future_date": "_f.trade_date", "future_close": "_f.close"}
+    return found.withColumns({k: F.col(v) for k, v in told.items()}).drop("_b", "_f")
