@@ -3,7 +3,7 @@
     register(spark)
     register_prices(spark, prices)
     SELECT report_id, clean_report(raw_text), m.* FROM texts, LATERAL report_metadata(raw_text) m
-    SELECT r.*, d.*, label_of(return_pct(base_close, future_close)) FROM reports r JOIN priced_days(30, 20) d USING (ticker, day)
+    SELECT r.*, first_price(p.prices, r.day, date_add(r.day, 50)) AS base FROM reports r JOIN price_blocks(50) p ON p.ticker = r.ticker AND p.block = price_block(r.day)
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions import numbers as N
 from ledgerloom.functions import text as X
+from ledgerloom.operators.asof import BLOCK
 
-#: The view of prices that priced_days() reads: (ticker, trade_date, close).
+#: The view of prices that price_blocks() reads: (ticker, trade_date, close).
 PRICES = "ledgerloom_prices"
 
 
@@ -52,6 +53,10 @@ def texts_of(label: str, texts: dict[int, str]) -> str:
     return f"CASE {label} " + " ".join(f"WHEN {k} THEN {literal(t)}" for k, t in texts.items()) + " END"
 
 
+def block_of(day: str) -> str:
+    return f"floor(unix_date({day}) / {BLOCK})"
+
+
 def _numeric(c: str) -> str:
     part = lambda k: f"get(split(m, {literal(rf'(?U)[.\-/]{X.SPACE}*')}), {k})"
     year = f"CASE WHEN length({part(0)}) = 2 THEN concat('20', {part(0)}) ELSE {part(0)} END"
@@ -64,6 +69,8 @@ def _english(c: str) -> str:
     return let(first(c, X.ENGLISH_DATE), "m", f"CASE WHEN m IS NOT NULL THEN concat_ws('.', right(m, 4), {month}, {day}) END")
 
 
+PRICE = "STRUCT<trade_date: DATE, close: DOUBLE>"
+PRICE_LIST = f"ARRAY<{PRICE}>"
 #: name, arguments, result type, SQL: the functions of text, numbers and dates.
 SCALAR = [
     ("squeeze_digits", "t STRING", "STRING", replaced("t", rf"(?U)(?<=\d){X.SPACE}+(?=\d)")),
@@ -81,19 +88,18 @@ SCALAR = [
     ("label_of", "pct DOUBLE", "INT", f"CASE WHEN pct <= {N.THRESHOLD}D THEN 1 ELSE 0 END"),
     ("class_text", "label INT", "STRING", texts_of("label", N.CLASS_TEXTS)),
     ("shown_pct", "pct DOUBLE", "DOUBLE", "bround(pct, 2)"),
+    ("price_block", "day DATE", "BIGINT", block_of("day")),
+    ("first_price", f"prices {PRICE_LIST}, since DATE, until DATE", PRICE, "array_min(filter(prices, p -> p.trade_date >= since AND p.trade_date <= until))"),
 ]
 #: As SCALAR, with a table as the result.
 TABLES = [
     ("report_metadata", "raw STRING", "ticker STRING, report_date_str STRING", "SELECT security_code(t), report_date_text(t) FROM (SELECT squeeze_digits(raw) AS t)"),
 ]
-#: All prices as a calendar: what a report of a ticker and day finds, as operators/asof.priced_days() has it.
-PRICED_DAYS = f"""
-    WITH one AS (SELECT ticker, trade_date, min(close) AS close FROM {PRICES} GROUP BY ticker, trade_date),
-    marked AS (SELECT *, lag(trade_date) OVER (PARTITION BY ticker ORDER BY trade_date) AS before FROM one),
-    days AS (SELECT ticker, explode(sequence(greatest(date_add(trade_date, -(horizon + tolerance)), date_add(before, 1)), trade_date)) AS day, trade_date, close FROM marked),
-    both AS (SELECT b.ticker, b.day, b.trade_date, b.close, l.trade_date <= date_add(b.day, horizon + tolerance) AS near, l.trade_date AS later, l.close AS later_close
-             FROM days b LEFT JOIN days l ON l.ticker = b.ticker AND l.day = date_add(b.day, horizon))
-    SELECT ticker, day, trade_date, close, CASE WHEN near THEN later END, CASE WHEN near THEN later_close END FROM both"""
+#: All prices by blocks of days, each with reach days after it, as operators/asof.price_blocks() has them; rows are dealt to {tasks} tasks once.
+PRICE_BLOCKS = f"""
+    WITH dealt AS (SELECT /*+ REPARTITION({{tasks}}, ticker, block) */ ticker, explode(sequence({block_of("date_add(trade_date, -reach)")}, {block_of("trade_date")})) AS block, trade_date, close FROM {PRICES}),
+    one AS (SELECT ticker, block, trade_date, min(close) AS close FROM dealt GROUP BY ticker, block, trade_date)
+    SELECT ticker, block, collect_list(struct(trade_date, close)) FROM one GROUP BY ticker, block"""
 
 
 def register(spark: SparkSession) -> None:
@@ -105,7 +111,7 @@ def register(spark: SparkSession) -> None:
 
 
 def register_prices(spark: SparkSession, prices: DataFrame) -> None:
-    """Makes priced_days(horizon, tolerance) known: (ticker, day, base_date, base_close, future_date, future_close) of these prices."""
+    """Makes price_blocks(reach) known: (ticker, block, prices) of these prices; needs what register() makes known."""
     prices.select("ticker", "trade_date", "close").createOrReplaceTempView(PRICES)
-    columns = "ticker STRING, day DATE, base_date DATE, base_close DOUBLE, future_date DATE, future_close DOUBLE"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION priced_days(horizon INT, tolerance INT) RETURNS TABLE ({columns}) RETURN {PRICED_DAYS}")
+    body = PRICE_BLOCKS.format(tasks=spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION price_blocks(reach INT) RETURNS TABLE (ticker STRING, block BIGINT, prices {PRICE_LIST}) RETURN {body}")

@@ -469,5 +469,8 @@ def sql_found_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_label_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     Q.register(spark)
     Q.register_prices(spark, S.prices(spark, sf_dir))
-    return spark.sql(f"""SELECT report_id, base_date, base_close, future_date, future_close, shown_pct(return_pct(base_close, future_close)) AS return_pct, label_of(return_pct(base_close, future_close)) AS label_id
-        FROM {{reports}} r JOIN priced_days({N.HORIZON}, {N.TOLERANCE}) d ON d.ticker = r.ticker AND d.day = r.report_date WHERE future_date IS NOT NULL""", reports=S.reports(spark, sf_dir))
+    return spark.sql(f"""SELECT report_id, base.trade_date AS base_date, base.close AS base_close, future.trade_date AS future_date, future.close AS future_close,
+            shown_pct(return_pct(base.close, future.close)) AS return_pct, label_of(return_pct(base.close, future.close)) AS label_id
+        FROM (SELECT report_id, first_price(prices, report_date, date_add(report_date, {N.HORIZON + N.TOLERANCE})) AS base,
+                     first_price(prices, date_add(report_date, {N.HORIZON}), date_add(report_date, {N.HORIZON + N.TOLERANCE})) AS future
+              FROM {{reports}} r JOIN price_blocks({N.HORIZON + N.TOLERANCE}) p ON p.ticker = r.ticker AND p.block = price_block(r.report_date)) WHERE future IS NOT NULL""", reports=S.reports(spark, sf_dir))

@@ -38,7 +38,7 @@ def shuffled_rows(node):
     return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
 
 
-NAMED = ["batch_status_counts", "base_asof", "future_asof"]
+NAMED = ["batch_status_counts", "sql_label_reports", "base_asof", "future_asof"]
 
 
 @pytest.mark.parametrize("name", NAMED)
