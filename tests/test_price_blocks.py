@@ -38,7 +38,7 @@ def shuffled_rows(node):
     return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
 
 
-NAMED = ["batch_status_counts", "sql_label_reports", "base_asof", "future_asof"]
+NAMED = ["batch_status_counts", "sql_label_reports", "training_set", "base_asof", "future_asof"]
 
 
 @pytest.mark.parametrize("name", NAMED)
@@ -83,3 +83,10 @@ def test_rows_that_find_nothing_are_spread(spark):
         dealt = label_table(r, p).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert sum(x["count"] for x in dealt) == 400
     assert len(dealt) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_meet_prices_in_all_tasks(spark, sf_dir):
+    """Not in fewer, as their shuffled size would have it: texts are far larger in a task than in a shuffle."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        made = catalogue.QUERIES["training_set"](spark, sf_dir).select(F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(made) == int(spark.conf.get("spark.sql.shuffle.partitions"))
