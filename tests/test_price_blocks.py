@@ -38,7 +38,7 @@ def shuffled_rows(node):
     return own + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
 
 
-NAMED = ["batch_status_counts", "sql_label_reports", "label_status_counts", "key_value_lines", "label_reports", "training_set", "base_asof", "future_asof"]
+NAMED = ["batch_status_counts", "sql_label_reports", "label_status_counts", "key_value_lines", "label_reports", "label_reports_wide", "training_set", "base_asof", "future_asof"]
 
 
 @pytest.mark.parametrize("name", NAMED)
